@@ -8,13 +8,15 @@ from ..constants import EARTH_RADIUS_KM, KM_PER_DEGREE
 def great_circle_km(lat1, lon1, lat2, lon2):
     """Spherical law of cosines.
 
-    For equal end points rounding can push the cosine past 1, where acos is NaN, so the
-    argument is clamped.
+    Close to 1 the cosine loses its digits and may even pass 1, where acos is NaN: equal end
+    points are 0 by definition and the argument is clamped.
     """
     cosine = F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(
         F.radians(lon2) - F.radians(lon1)
     ) + F.sin(F.radians(lat1)) * F.sin(F.radians(lat2))
-    return EARTH_RADIUS_KM * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    arc = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    same = (lat1 == lat2) & (lon1 == lon2)
+    return F.when(same, 0.0).otherwise(EARTH_RADIUS_KM * arc)
 
 
 def planar_km(lat1, lon1, lat2, lon2):

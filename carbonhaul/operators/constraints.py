@@ -24,6 +24,16 @@ def reasons(rules):
     )
 
 
+def pinned(df):
+    """The same rows, with a one-element explode on top.
+
+    A filter moves below a projection by substituting the projected expressions, as often as it
+    mentions them. Above expressions that are long or costly (a parser, a list of rules) that
+    repeats the work many times; a generator's output stops the move.
+    """
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
 def split(df):
     """(accepted, quarantined) of a frame that carries the reasons column."""
     return (
@@ -61,7 +71,7 @@ def rules(spec):
 
 
 def with_reasons(df, spec):
-    return df.withColumn(REASONS, reasons(rules(spec)))
+    return pinned(df.withColumn(REASONS, reasons(rules(spec))))
 
 
 def check_violations(df, spec):

@@ -151,16 +151,15 @@ SELECT VIN, InvoiceMonth, litres * 63 / 64 AS Litres,
        ({SUPPLIER_LIST})[CAST(substr(VIN, 5, 13) AS BIGINT) % 5 + 1] AS SupplierName
 FROM vehicle_month""",
     "raw_invoices": """
-SELECT CAST(year(InvoiceMonth) AS BIGINT) AS SourceYear,
-       CASE WHEN mark = 0 AND year(InvoiceMonth) > 2025 THEN NULL ELSE VIN END AS VIN,
+SELECT n // 20 AS SourceDrop,
+       CASE WHEN kind = 0 AND mark = 0 THEN NULL ELSE VIN END AS VIN,
        strftime(InvoiceMonth + INTERVAL 14 DAY, '%Y-%m-%d') AS InvoiceDate,
-       CASE WHEN mark = 1 AND year(InvoiceMonth) > 2026 THEN -Litres ELSE Litres END AS Litres,
-       CASE WHEN mark = 2 AND year(InvoiceMonth) > 2024 THEN NULL ELSE EUR_Amount END AS EUR_Amount,
-       CASE WHEN mark = 3 AND year(InvoiceMonth) > 2027
-            THEN concat('INV-', VIN, '-', strftime(InvoiceMonth, '%Y'), '01')
+       CASE WHEN kind = 1 AND mark = 1 THEN -Litres ELSE Litres END AS Litres,
+       CASE WHEN kind = 2 AND mark % 5 = 2 OR kind = 4 AND mark = 2 THEN NULL ELSE EUR_Amount END AS EUR_Amount,
+       CASE WHEN kind = 3 AND mark = 3 THEN concat('INV-', VIN, '-', strftime(InvoiceMonth, '%Y'), '01')
             ELSE InvoiceNumber END AS InvoiceNumber, SupplierName
-FROM (SELECT *, (CAST(substr(VIN, 5, 13) AS BIGINT) + month(InvoiceMonth) + year(InvoiceMonth)) % 41
-             AS mark FROM invoices)""",
+FROM (SELECT *, (n + month(InvoiceMonth) + year(InvoiceMonth)) % 41 AS mark, n // 20 % 5 AS kind
+      FROM (SELECT *, CAST(substr(VIN, 5, 13) AS BIGINT) AS n FROM invoices))""",
     "price_curve": """
 SELECT PriceMonth,
        round(85 + CAST(0.5 AS DOUBLE) * m + 5 * sin(2 * pi() * month(PriceMonth) / 12) + deviation, 2)

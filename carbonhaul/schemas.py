@@ -26,13 +26,25 @@ class TableSpec:
         return [f.name for f in self.schema if not f.nullable]
 
 
-def _struct(ddl):
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(),
+    "bigint": T.LongType(), "date": T.DateType(), "timestamp": T.TimestampType(),
+    "binary": T.BinaryType(),
+}
+
+
+def struct(columns):
+    """``name type [NOT NULL], ...`` as a schema; needs no running session."""
+    fields = []
+    for column in columns.split(","):
+        name, kind, *rest = column.split()
+        fields.append(T.StructField(name, TYPES[kind], not rest))
+    return T.StructType(fields)
 
 
 TRIP_FACTS = TableSpec(
     name="TripFacts",
-    schema=_struct(
+    schema=struct(
         "TripID string NOT NULL, VIN string NOT NULL, "
         "StartTimeUTC timestamp NOT NULL, EndTimeUTC timestamp NOT NULL, "
         "Distance_km double NOT NULL, Fuel_l double NOT NULL, "
@@ -51,7 +63,7 @@ TRIP_FACTS = TableSpec(
 
 FUEL_INVOICES = TableSpec(
     name="FuelInvoices",
-    schema=_struct(
+    schema=struct(
         "VIN string NOT NULL, InvoiceMonth date NOT NULL, Litres double NOT NULL, "
         "EUR_Amount double NOT NULL, EUR_per_Litre double, InvoiceNumber string, "
         "SupplierName string, CreatedDate timestamp"
@@ -69,7 +81,7 @@ FUEL_INVOICES = TableSpec(
 
 PRICE_CURVE = TableSpec(
     name="ETSPriceCurve",
-    schema=_struct(
+    schema=struct(
         "PriceMonth date NOT NULL, EUR_per_t double NOT NULL, PriceSource string, "
         "Volatility double, LastUpdated timestamp"
     ),
@@ -86,7 +98,7 @@ PRICE_CURVE = TableSpec(
 
 SCENARIO_RUN = TableSpec(
     name="ScenarioRun",
-    schema=_struct(
+    schema=struct(
         "ScenarioID string NOT NULL, ScenarioName string NOT NULL, "
         "TimeHorizon_months int NOT NULL, VehiclesReplaced int NOT NULL, "
         "CapEx_EUR double NOT NULL, OpEx_EUR double NOT NULL, CO2_Reduction_t double NOT NULL, "

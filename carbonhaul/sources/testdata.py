@@ -73,10 +73,13 @@ def trip_loads(spark, sf_dir):
 
 def telematics(spark, sf_dir):
     """Parsed trip-end messages; ``processedTime`` is the event time."""
+    return parsed_messages(table(spark, sf_dir, "events"))
+
+
+def parsed_messages(events):
     k = "CAST(get_json_object(props, '$.k') AS INT)"
     minutes = "make_interval(0,0,0,0,0,CAST(15 * (1 + event_id % 16) AS INT),0)"
     start, end = F.expr("CAST(event_id % 14 AS INT)"), F.expr(f"CAST({k} % 14 AS INT)")
-    events = table(spark, sf_dir, "events")
     return events.select(
         F.expr("concat('M', CAST(event_id AS STRING))").alias("messageId"),
         F.expr(
@@ -88,7 +91,7 @@ def telematics(spark, sf_dir):
             "startTimeUTC"
         ),
         F.expr("CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)").alias("endTimeUTC"),
-        F.col("ts").alias("processedTime"),
+        F.col("ts").cast("timestamp").alias("processedTime"),
         F.expr("CAST(floor(value * 4) AS DOUBLE) / 4").alias("distance_km"),
         F.expr(f"CAST(floor(value * 4) AS DOUBLE) / 4 * {k} / 128").alias("fuel_l"),
         F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE)").alias("engineHours"),
@@ -113,67 +116,77 @@ def telematics(spark, sf_dir):
 
 def messages(spark, sf_dir):
     """The same messages as JSON text with the defects a feed has: cut-off text, wrong numbers,
-    wrong times, and every tenth message sent twice."""
-    return _message_text(table(spark, sf_dir, "events"))
+    wrong or missing times, and every tenth message sent twice."""
+    return message_text(table(spark, sf_dir, "events"))
+
 
+def event_stream(spark, sf_dir):
+    """The events as a stream of files."""
+    schema = table(spark, sf_dir, "events").schema
+    return (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    )
 
-def _message_text(events):
+
+def message_text(events):
     k = "CAST(get_json_object(props, '$.k') AS INT)"
     minutes = "make_interval(0,0,0,0,0,CAST(15 * (1 + event_id % 16) AS INT),0)"
     iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") || 'Z'"
     end = "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)"
     start, stop = F.expr("CAST(event_id % 14 AS INT)"), F.expr(f"CAST({k} % 14 AS INT)")
     distance = "CAST(floor(value * 4) AS DOUBLE) / 4"
-    text = F.to_json(
-        F.struct(
-            F.expr("concat('M', CAST(event_id AS STRING))").alias("messageId"),
-            F.expr("concat('V', CAST(user_id AS STRING))").alias("vehicleId"),
-            F.expr(
-                "CASE WHEN event_id % 211 = 0 THEN NULL "
-                "ELSE concat('WDBN', lpad(CAST(user_id AS STRING), 13, '0')) END"
-            ).alias("vin"),
-            F.expr("concat('T', CAST(event_id AS STRING))").alias("tripId"),
-            F.expr(
-                f"CASE WHEN event_id % 97 = 0 THEN 'not a time' "
-                f"ELSE {iso.format(f'{end} - {minutes}')} END"
-            ).alias("startTime"),
-            F.expr(iso.format(end)).alias("endTime"),
-            F.expr(iso.format("ts")).alias("timestamp"),
-            _city(start, 1).alias("startLatitude"),
-            _city(start, 2).alias("startLongitude"),
-            _city(stop, 1).alias("endLatitude"),
-            _city(stop, 2).alias("endLongitude"),
-            F.expr(
-                f"CASE WHEN event_id % 89 = 0 THEN 'n/a' ELSE CAST({distance} AS STRING) END"
-            ).alias("totalDistance"),
-            F.expr(f"{distance} * {k} / 128").alias("fuelConsumed"),
-            F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE)").alias("engineHours"),
-            F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE) * (event_id % 7) / 16").alias(
-                "idleTime"
-            ),
-            F.expr(
-                "CASE WHEN event_id % 83 = 0 THEN 'fast' "
-                "ELSE CAST(CAST(70 + event_id % 37 AS DOUBLE) AS STRING) END"
-            ).alias("maxSpeed"),
-            F.expr("CAST(50 + event_id % 31 AS DOUBLE)").alias("avgSpeed"),
-            F.expr(
-                "CASE WHEN event_id % 50 = 0 THEN NULL "
-                "ELSE concat('D', CAST(user_id % 40 AS STRING)) END"
-            ).alias("driverId"),
-            F.concat(
-                F.lit("R"), start.cast("string"), F.lit("-"), stop.cast("string")
-            ).alias("routeId"),
-        )
+    fields = [
+        F.expr("concat('M', CAST(event_id AS STRING))").alias("messageId"),
+        F.expr("concat('V', CAST(user_id AS STRING))").alias("vehicleId"),
+        F.expr(
+            "CASE WHEN event_id % 211 = 0 THEN NULL "
+            "ELSE concat('WDBN', lpad(CAST(user_id AS STRING), 13, '0')) END"
+        ).alias("vin"),
+        F.expr("concat('T', CAST(event_id AS STRING))").alias("tripId"),
+        F.expr(
+            f"CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 97 = 0 THEN 'not a time' "
+            f"ELSE {iso.format(f'{end} - {minutes}')} END"
+        ).alias("startTime"),
+        F.expr(iso.format(end)).alias("endTime"),
+        F.expr(iso.format("ts")).alias("timestamp"),
+        _city(start, 1).alias("startLatitude"),
+        _city(start, 2).alias("startLongitude"),
+        _city(stop, 1).alias("endLatitude"),
+        _city(stop, 2).alias("endLongitude"),
+        F.expr(
+            f"CASE WHEN event_id % 89 = 0 THEN 'n/a' ELSE CAST({distance} AS STRING) END"
+        ).alias("totalDistance"),
+        F.expr(f"{distance} * {k} / 128").alias("fuelConsumed"),
+        F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE)").alias("engineHours"),
+        F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE) * (event_id % 7) / 16").alias(
+            "idleTime"
+        ),
+        F.expr(
+            "CASE WHEN event_id % 83 = 0 THEN 'fast' "
+            "ELSE CAST(CAST(70 + event_id % 37 AS DOUBLE) AS STRING) END"
+        ).alias("maxSpeed"),
+        F.expr("CAST(50 + event_id % 31 AS DOUBLE)").alias("avgSpeed"),
+        F.expr(
+            "CASE WHEN event_id % 50 = 0 THEN NULL "
+            "ELSE concat('D', CAST(user_id % 40 AS STRING)) END"
+        ).alias("driverId"),
+        F.concat(
+            F.lit("R"), start.cast("string"), F.lit("-"), stop.cast("string")
+        ).alias("routeId"),
+    ]
+    copies = F.when(F.expr("event_id % 10 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(
+        F.array(F.lit(0))
+    )
+    rows = events.select(
+        *fields,
+        F.expr("event_type = 'error' AND event_id % 3 = 0").alias("cut"),
+        F.explode(copies).alias("copy"),
+    )
+    names = [c for c in rows.columns if c not in ("cut", "copy")]
+    text = F.to_json(F.struct(*names))
+    return rows.select(
+        F.when(F.col("cut"), F.substring(text, 1, 40)).otherwise(text).alias("value")
     )
-    cut = F.expr("event_type = 'error' AND event_id % 3 = 0")
-    return events.select(
-        F.explode(
-            F.when(F.expr("event_id % 10 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ).alias("copy"),
-        F.when(cut, F.substring(text, 1, 40)).otherwise(text).alias("value"),
-    ).select("value")
 
 
 def vehicle_month_litres(trips_df):
@@ -200,27 +213,31 @@ def invoices(spark, sf_dir):
 
 
 def raw_invoices(spark, sf_dir):
-    """Invoices as delivered: some without a vehicle, with negative litres, a missing amount or
-    the invoice number of a year's first month; ``SourceYear`` names the drop."""
+    """Invoices as delivered, twenty vehicles per drop. Depending on the drop some rows lack the
+    vehicle or the amount, have negative litres or repeat the number of the year's first invoice."""
     month = F.col("InvoiceMonth")
     number = F.substring("VIN", 5, 13).cast("bigint")
+    drop = F.floor(number / 20)
     mark = (number + F.month(month) + F.year(month)) % 41
-    year = F.year(month)
+    kind = drop % 5
+    january = F.concat(
+        F.lit("INV-"), F.col("VIN"), F.lit("-"), F.year(month).cast("string"), F.lit("01")
+    )
     return invoices(spark, sf_dir).select(
-        year.cast("bigint").alias("SourceYear"),
-        F.when((mark == 0) & (year > 2025), F.lit(None).cast("string")).otherwise(
+        drop.alias("SourceDrop"),
+        F.when((kind == 0) & (mark == 0), F.lit(None).cast("string")).otherwise(
             F.col("VIN")
         ).alias("VIN"),
         F.date_format(F.date_add(month, 14), "yyyy-MM-dd").alias("InvoiceDate"),
-        F.when((mark == 1) & (year > 2026), -F.col("Litres")).otherwise(F.col("Litres")).alias(
+        F.when((kind == 1) & (mark == 1), -F.col("Litres")).otherwise(F.col("Litres")).alias(
             "Litres"
         ),
-        F.when((mark == 2) & (year > 2024), F.lit(None).cast("double"))
+        F.when((kind == 2) & (mark % 5 == 2), F.lit(None).cast("double"))
+        .when((kind == 4) & (mark == 2), F.lit(None).cast("double"))
         .otherwise(F.col("EUR_Amount")).alias("EUR_Amount"),
-        F.when(
-            (mark == 3) & (year > 2027),
-            F.concat(F.lit("INV-"), F.col("VIN"), F.lit("-"), year.cast("string"), F.lit("01")),
-        ).otherwise(F.col("InvoiceNumber")).alias("InvoiceNumber"),
+        F.when((kind == 3) & (mark == 3), january).otherwise(F.col("InvoiceNumber")).alias(
+            "InvoiceNumber"
+        ),
         "SupplierName",
     )
 
