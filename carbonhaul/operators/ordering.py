@@ -8,7 +8,7 @@ its own; the totals of the ranges before it arrive through a small join.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import materialized
 
 
 def positions(df, value, by=(), descending=False):
@@ -17,18 +17,16 @@ def positions(df, value, by=(), descending=False):
     NULL values take no position.
     """
     by = list(by)
-    spark = df.sparkSession
-    checkpoint_root(spark)
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("n")
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # The range number must not change between the two uses below, hence the checkpoint.
-    ranged = (
-        counted.repartitionByRange(ranges, *by, order)
-        .withColumn("_range", F.spark_partition_id())
-        .checkpoint()
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The range numbers must be the same in the two uses below.
+    ranged = materialized(
+        counted.repartitionByRange(ranges, *by, order).withColumn(
+            "_range", F.spark_partition_id()
+        )
     )
     # at most one row per range and group boundary
     totals = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_total"))
@@ -49,8 +47,12 @@ def positions(df, value, by=(), descending=False):
 
 
 def rank(df, value, by=(), descending=True, name="rank"):
-    """Competition rank (ties share a rank, the next one skips) of every row."""
+    """Competition rank (ties share a rank, the next one skips) of every row.
+
+    ``df`` is expected to be an aggregate; it is computed once and kept.
+    """
     by = list(by)
+    df = materialized(df)
     ranked = positions(df, value, by, descending).select(
         *by, value, (F.col("before") + 1).alias(name)
     )

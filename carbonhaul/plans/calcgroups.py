@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ratios import divide
 from ..operators import ordering
+from ..session import materialized
 
 BUDGET_FACTOR = 1.1  # the budget lies ten percent above the actual value
 LOW_BAND = 0.8
@@ -63,6 +64,7 @@ def share_of_total(df, measure, name="share"):
 
 def over_groups(df, measure):
     """Sum, mean, extremes, exact median and population deviation over the groups' values."""
+    df = materialized(df)
     middle = ordering.median(df, measure).scalar()
     return df.agg(
         F.sum(measure).alias("sum"),

@@ -154,10 +154,6 @@ def with_partner_vehicle(df, other):
     return df.join(other.select("VIN").distinct(), "VIN", "left_semi")
 
 
-def without_partner_vehicle(df, other):
-    return df.join(other.select("VIN").distinct(), "VIN", "left_anti")
-
-
 def evaluate(trips, names, by=(), price=DEFAULT_ETS_EUR_PER_T, keep_parts=False):
     """One row per group with the named measures.
 

@@ -539,6 +539,7 @@ def dq_null_dates(spark, sf):
               abs(sum(Fuel_l * 2.68) - sum(Fuel_l) * 2.68) <= 1e-9 * abs(sum(Fuel_l) * 2.68) AS accurate
        FROM trips""",
     doubles="by_trip_kg by_total_kg",
+    decimals=3,
 )
 def dq_co2_accuracy(spark, sf):
     return quality.co2_accuracy(src.trips(spark, sf))

@@ -144,7 +144,6 @@ def running_ets(spark, sf):
     """SELECT a."Date", (SELECT avg(litres_or_blank) FROM daily b
               WHERE b."Date" <= a."Date" AND b."Date" > CAST(a."Date" - INTERVAL 3 MONTH AS DATE))
               * 2.68 / 1000 AS moving_avg_co2_t FROM daily a""",
-    doubles="moving_avg_co2_t",
 )
 def moving_avg_3m(spark, sf):
     """Mean daily emission of the three months up to each day."""

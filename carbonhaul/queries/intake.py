@@ -1,5 +1,7 @@
 """Sources, validation, upserts and table maintenance."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..functions.geo import planar_km
@@ -406,10 +408,8 @@ TRIP_COLUMNS_SQL = """TripID, VIN, StartTimeUTC, EndTimeUTC, Distance_km, Fuel_l
 
 
 def stored_trips(spark, sf):
-    """Trips in a stored table, partitioned by month of the start instead of by day, which keeps
-    the number of small files of a test low."""
-    from dataclasses import replace
-
+    """Trips in a stored table. It is left unpartitioned here: the few rows per day of the test
+    data would make thousands of tiny files."""
     spec = replace(TRIP_FACTS, partition_by=())
     store = TableStore(spark, scratch_path(spark, "trips"), {spec.name: spec})
     store.overwrite(src.trips(spark, sf), spec.name)

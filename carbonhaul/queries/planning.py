@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..plans import pricing
 from ..plans import replacement as R
+from ..session import materialized
 from ..sources import testdata as src
 from .registry import query
 
@@ -42,8 +43,12 @@ FLEET = """fleet AS (SELECT VIN, sum(Distance_km) AS km, sum(Fuel_l) AS l, count
 
 
 def both_schedules(spark, sf):
-    fleet = vehicles(spark, sf)
-    return fleet, {"greedy": R.greedy_schedule(fleet), "heuristic": R.heuristic_schedule(fleet)}
+    """The fleet and its schedules, each computed once for the several checks on it."""
+    fleet = materialized(vehicles(spark, sf))
+    return fleet, {
+        "greedy": materialized(R.greedy_schedule(fleet)),
+        "heuristic": materialized(R.heuristic_schedule(fleet)),
+    }
 
 
 def union(frames):
@@ -146,6 +151,7 @@ OBJECTIVE_SQL = """SELECT '{s}' AS schedule, capex, infrastructure, operating, e
     "schedule_objective",
     f"WITH {FLEET} {OBJECTIVE_SQL.format(s='heuristic')} UNION ALL {OBJECTIVE_SQL.format(s='greedy')}",
     doubles="capex infrastructure operating ets total",
+    decimals=2,
 )
 def schedule_objective(spark, sf):
     fleet, schedules = both_schedules(spark, sf)

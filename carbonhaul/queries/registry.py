@@ -16,22 +16,23 @@ class Query:
     run: object
     sql: str | None
     doubles: tuple
+    decimals: int
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name, sql=None, doubles=""):
+def query(name, sql=None, doubles="", decimals=6):
     """Register ``fn(spark, sf_dir) -> DataFrame``.
 
-    ``doubles`` names the computed double columns: both sides round them to six decimals, as sums
-    of doubles depend on their order in the last bits.
+    ``doubles`` names double columns whose last bits depend on the order of a sum or on the math
+    library: both sides round them. All others are compared bit by bit.
     """
 
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = Query(name, fn, sql, tuple(doubles.split()))
+        QUERIES[name] = Query(name, fn, sql, tuple(doubles.split()), decimals)
         return fn
 
     return register
@@ -44,7 +45,7 @@ def spark_callable(entry):
         for f in df.schema:
             c = F.col(f"`{f.name}`")
             if f.name in entry.doubles:
-                c = F.round(c, 6) + F.lit(0.0)
+                c = F.round(c, entry.decimals) + F.lit(0.0)
             elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
                 c = c.cast("bigint")
             elif isinstance(f.dataType, T.TimestampType):
@@ -61,7 +62,7 @@ def oracle_text(entry):
     body = entry.sql.strip()
     if entry.doubles:
         rounded = ", ".join(
-            f'CAST(round(CAST("{c}" AS DOUBLE), 6) AS DOUBLE) + CAST(0 AS DOUBLE) AS "{c}"'
+            f'CAST(round(CAST("{c}" AS DOUBLE), {entry.decimals}) AS DOUBLE) + CAST(0 AS DOUBLE) AS "{c}"'
             for c in entry.doubles
         )
         outer = f"SELECT * REPLACE ({rounded}) FROM _result"

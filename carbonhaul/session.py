@@ -66,6 +66,13 @@ def checkpoint_root(spark):
     return root
 
 
+def materialized(df):
+    """The frame written to the shared folder: computed once, lineage cut, and still there when
+    an executor is lost. For aggregates that several branches of a plan use."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch_path(spark, name):
     """A new, unused path below the shared folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"

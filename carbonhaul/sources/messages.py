@@ -6,7 +6,7 @@ from ..operators.constraints import pinned
 from ..schemas import MESSAGE_SCHEMA
 
 
-def json_lines_stream(spark, folder, max_files=None):
+def json_lines_stream(spark, folder, max_files=1000):
     """A stream of text files with one message per line."""
     reader = spark.readStream.format("text")
     if max_files:

@@ -6,10 +6,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from ..operators.constraints import REASONS, conform, split, with_reasons
+from ..operators.constraints import conform, split, with_reasons
 from ..operators.merge import latest_per_key, merge
 from ..schemas import TABLES
-from ..session import checkpoint_root
+from ..session import materialized
+
+
+def stored(spark, path, schema):
+    """The files below ``path``, or None where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 class TableStore:
@@ -26,13 +36,7 @@ class TableStore:
         return f"{self.root}/{name}"
 
     def exists(self, name):
-        try:
-            self.spark.read.schema(self.specs[name].schema).parquet(self.path(name))
-            return True
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return False
-            raise
+        return stored(self.spark, self.path(name), self.specs[name].schema) is not None
 
     def read(self, name):
         return self.spark.read.schema(self.specs[name].schema).parquet(self.path(name))
@@ -76,8 +80,7 @@ class TableStore:
             return self._write(source, name, "overwrite")
         target = self.read(name)
         if not spec.partition_by:
-            checkpoint_root(self.spark)
-            merged = merge(target, source, spec.merge_keys, order_by).checkpoint()
+            merged = materialized(merge(target, source, spec.merge_keys, order_by))
             return self._write(merged, name, "overwrite")
 
         part = spec.partition_by[0]
@@ -151,5 +154,3 @@ def trips_between(trips, first, last):
         & (F.col("TripDate") <= F.to_date(last))
     )
 
-
-__all__ = ["REASONS", "TableStore", "cluster", "trips_between"]

@@ -11,6 +11,7 @@ from ..operators.constraints import REASONS, split
 from ..operators.merge import latest_per_key, merge
 from ..schemas import FUEL_INVOICES, TRIP_FACTS
 from ..sources import invoice_files, messages
+from ..sources.tables import stored
 
 
 def trigger_options(interval=None):
@@ -76,9 +77,10 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
         marked.unpersist()
 
 
-def ingest_invoice_files(spark, folder, store, quarantine, checkpoint, max_files=None,
+def ingest_invoice_files(spark, folder, store, quarantine, checkpoint, max_files=1000,
                          interval=None):
-    """New files of a folder -> invoices. Seen files are remembered by the checkpoint."""
+    """New files of a folder -> invoices. Seen files are remembered by the checkpoint;
+    ``max_files`` bounds a batch, so a large backlog is worked off in several."""
     listing = invoice_files.stream_files(spark, folder, max_files)
     return (
         listing.writeStream.foreachBatch(
@@ -136,8 +138,8 @@ def serve(frame, path, keys, checkpoint, interval=None):
             if not days:
                 return
             merged = fresh
-            if batch_id > 0:
-                old = spark.read.schema(fresh.schema).parquet(path)
+            old = stored(spark, path, fresh.schema)
+            if old is not None:
                 merged = merge(
                     old.where(F.col("window_date").isin(days)), fresh, keys, ["last_update"]
                 )
