@@ -19,11 +19,15 @@ SEASONAL_FUEL_SHARE = 0.1
 def price_curve_from_quotes(quotes):
     """Monthly settlement: trend + season + the deviation of the month's last quote.
 
-    The last quote is a partial maximum per month, so the shuffle carries one row per task and
-    month however many quotes a month has.
+    The last quote is found per day and then per month. Both maxima are over plain numbers, so
+    they run as hash aggregates with partial results before the shuffle (a maximum over a struct
+    would sort its input), and a month with very many quotes is no hot spot.
     """
-    settled = quotes.groupBy("PriceMonth").agg(
-        F.max_by("deviation", F.struct("quote_date", "quote_id")).alias("deviation")
+    daily = quotes.groupBy("PriceMonth", "quote_date").agg(
+        F.max_by("deviation", "quote_id").alias("deviation")
+    )
+    settled = daily.groupBy("PriceMonth").agg(
+        F.max_by("deviation", F.unix_date("quote_date")).alias("deviation")
     )
     position = F.floor(F.months_between("PriceMonth", F.lit(CURVE_START).cast("date")))
     season = SEASONAL_EUR * F.sin(2 * math.pi * F.month("PriceMonth") / 12)

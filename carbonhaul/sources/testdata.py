@@ -77,10 +77,9 @@ def telematics(spark, sf_dir):
 
 
 def parsed_messages(events):
-    k = "CAST(get_json_object(props, '$.k') AS INT)"
     minutes = "make_interval(0,0,0,0,0,CAST(15 * (1 + event_id % 16) AS INT),0)"
-    start, end = F.expr("CAST(event_id % 14 AS INT)"), F.expr(f"CAST({k} % 14 AS INT)")
-    return events.select(
+    start, end = F.expr("CAST(event_id % 14 AS INT)"), F.expr("CAST(k % 14 AS INT)")
+    return with_k(events).select(
         F.expr("concat('M', CAST(event_id AS STRING))").alias("messageId"),
         F.expr(
             "CASE WHEN event_id % 211 = 0 THEN NULL "
@@ -93,7 +92,7 @@ def parsed_messages(events):
         F.expr("CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)").alias("endTimeUTC"),
         F.col("ts").cast("timestamp").alias("processedTime"),
         F.expr("CAST(floor(value * 4) AS DOUBLE) / 4").alias("distance_km"),
-        F.expr(f"CAST(floor(value * 4) AS DOUBLE) / 4 * {k} / 128").alias("fuel_l"),
+        F.expr("CAST(floor(value * 4) AS DOUBLE) / 4 * k / 128").alias("fuel_l"),
         F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE)").alias("engineHours"),
         F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE) * (event_id % 7) / 16").alias(
             "idleTime"
@@ -128,12 +127,16 @@ def event_stream(spark, sf_dir):
     )
 
 
+def with_k(events):
+    """The number inside ``props``, extracted once."""
+    return events.withColumn("k", F.expr("CAST(get_json_object(props, '$.k') AS INT)"))
+
+
 def message_text(events):
-    k = "CAST(get_json_object(props, '$.k') AS INT)"
     minutes = "make_interval(0,0,0,0,0,CAST(15 * (1 + event_id % 16) AS INT),0)"
     iso = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSS\") || 'Z'"
     end = "CAST(date_trunc('second', ts) AS TIMESTAMP_NTZ)"
-    start, stop = F.expr("CAST(event_id % 14 AS INT)"), F.expr(f"CAST({k} % 14 AS INT)")
+    start, stop = F.expr("CAST(event_id % 14 AS INT)"), F.expr("CAST(k % 14 AS INT)")
     distance = "CAST(floor(value * 4) AS DOUBLE) / 4"
     fields = [
         F.expr("concat('M', CAST(event_id AS STRING))").alias("messageId"),
@@ -156,7 +159,7 @@ def message_text(events):
         F.expr(
             f"CASE WHEN event_id % 89 = 0 THEN 'n/a' ELSE CAST({distance} AS STRING) END"
         ).alias("totalDistance"),
-        F.expr(f"{distance} * {k} / 128").alias("fuelConsumed"),
+        F.expr(f"{distance} * k / 128").alias("fuelConsumed"),
         F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE)").alias("engineHours"),
         F.expr("(1 + event_id % 16) * CAST(0.25 AS DOUBLE) * (event_id % 7) / 16").alias(
             "idleTime"
@@ -177,15 +180,14 @@ def message_text(events):
     copies = F.when(F.expr("event_id % 10 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(
         F.array(F.lit(0))
     )
-    rows = events.select(
+    rows = with_k(events).select(
         *fields,
         F.expr("event_type = 'error' AND event_id % 3 = 0").alias("cut"),
         F.explode(copies).alias("copy"),
     )
     names = [c for c in rows.columns if c not in ("cut", "copy")]
-    text = F.to_json(F.struct(*names))
-    return rows.select(
-        F.when(F.col("cut"), F.substring(text, 1, 40)).otherwise(text).alias("value")
+    return rows.select("cut", F.to_json(F.struct(*names)).alias("text")).select(
+        F.expr("substring(text, 1, CASE WHEN cut THEN 40 ELSE length(text) END)").alias("value")
     )
 
 
