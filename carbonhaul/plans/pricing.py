@@ -66,9 +66,15 @@ def selected_price(prices, default=DEFAULT_ETS_EUR_PER_T):
     ).otherwise(F.lit(default))
 
 
+def mean_price(price="EUR_per_t"):
+    """Aggregate: the mean as an exact decimal sum over the count, so that the result does not
+    depend on the order in which partial sums arrive."""
+    return F.try_divide(F.sum(F.col(price).cast("decimal(20,10)")).cast("double"), F.count(price))
+
+
 def average_price(curve, default=DEFAULT_ETS_EUR_PER_T):
     """One row: the mean price of the curve, the default for an empty curve."""
-    return curve.agg(F.coalesce(F.avg("EUR_per_t"), F.lit(default)).alias("avg_price"))
+    return curve.agg(F.coalesce(mean_price(), F.lit(default)).alias("avg_price"))
 
 
 def volatility(curve):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.ratios import co2_kg, divide
+from .pricing import mean_price
 
 
 def trip_range(trips):
@@ -32,7 +33,7 @@ def price_range(curve):
         F.count(F.lit(1)).alias("months"),
         F.min("PriceMonth").alias("first_month"),
         F.max("PriceMonth").alias("last_month"),
-        F.avg("EUR_per_t").alias("avg_price"),
+        mean_price().alias("avg_price"),
         F.min("EUR_per_t").alias("min_price"),
         F.max("EUR_per_t").alias("max_price"),
     )

@@ -86,6 +86,15 @@ def factor(month, rate=DISCOUNT_RATE):
     return discount_factor(F.floor(month / 12), rate)
 
 
+def remaining(month, rate=DISCOUNT_RATE):
+    """Sum of the discount factors from a month to the end of the horizon."""
+    weights, total = [], 0.0
+    for m in reversed(range(HORIZON_MONTHS)):
+        total += (1 + rate) ** -(m // 12)
+        weights.append(total)
+    return F.element_at(F.array(*[F.lit(w) for w in reversed(weights)]), (month + 1).cast("int"))
+
+
 def year_of(month):
     return (F.floor(month / 12) + 1).cast("bigint")
 
@@ -107,23 +116,25 @@ def _keep_month():
     )
 
 
-def cost_matrix(vehicles):
+def cost_matrix(vehicles, charge_after=False):
     """Discounted cost of every (vehicle, option, month) choice.
 
-    The new vehicle's running cost is charged for its first month.
+    The new vehicle's running cost is charged for its first month, or with ``charge_after`` for
+    every month to the end of the horizon.
     """
     rows = vehicles.select(
         "*", F.explode(options()).alias("o")
     ).select("*", F.explode(months()).alias("month"))
     option, weight = F.col("o"), factor(F.col("month"))
+    running = remaining(F.col("month")) if charge_after else weight
     fuel, ets = _new_month(option)
     return rows.select(
         "VIN",
         option["type"].alias("option"),
         "month",
         (option["acquisition_cost"] * weight).alias("capex"),
-        (fuel * weight).alias("fuel_cost"),
-        (ets * weight).alias("ets_cost"),
+        (fuel * running).alias("fuel_cost"),
+        (ets * running).alias("ets_cost"),
     ).withColumn("total", F.col("capex") + F.col("fuel_cost") + F.col("ets_cost"))
 
 

@@ -11,7 +11,7 @@ from ..operators import ordering
 from ..plans import measures as M
 from ..plans import pricing, quality
 from ..sources import testdata as src
-from .registry import query
+from .registry import MEAN_PRICE, query
 
 
 def dates(spark):
@@ -328,8 +328,8 @@ def fleet_kpis(spark, sf):
 @query(
     "compliance_risk",
     """SELECT VIN, rate AS compliance_rate,
-              CASE WHEN rate >= 0.95 THEN 1 WHEN rate >= 0.9 THEN 2 WHEN rate >= 0.85 THEN 3 ELSE 4 END
-                AS compliance_risk_score,
+              CAST(CASE WHEN rate >= 0.95 THEN 1 WHEN rate >= 0.9 THEN 2 WHEN rate >= 0.85 THEN 3 ELSE 4 END
+                AS BIGINT) AS compliance_risk_score,
               CASE WHEN rate >= 0.95 THEN '✅ Compliant' WHEN rate >= 0.9 THEN '⚠️ At Risk'
                    ELSE '❌ Non-Compliant' END AS compliance_status
        FROM (SELECT VIN, CASE WHEN eff <= 28 THEN CAST(1 AS DOUBLE) ELSE CAST(28 AS DOUBLE) / eff END AS rate
@@ -349,10 +349,9 @@ FORECAST_FROM = "2026-07-01"
 
 @query(
     "ets_cost_forecast",
-    f"""SELECT VIN, {ANNUAL_SQL} * (SELECT avg(EUR_per_t) FROM price_curve
+    f"""SELECT VIN, {ANNUAL_SQL} * (SELECT {MEAN_PRICE} FROM price_curve
                  WHERE PriceMonth >= DATE '{FORECAST_FROM}') AS ets_cost_forecast_eur
        FROM trips GROUP BY VIN""",
-    doubles="ets_cost_forecast_eur",
 )
 def ets_cost_forecast(spark, sf):
     """Annual emission at the mean price from a given day on."""
@@ -360,7 +359,7 @@ def ets_cost_forecast(spark, sf):
         F.col("PriceMonth") >= F.lit(FORECAST_FROM).cast("date")
     )
     annual = M.evaluate(src.trips(spark, sf), ["annual_co2_t"], by=["VIN"])
-    price = future.agg(F.avg("EUR_per_t")).scalar()
+    price = future.agg(pricing.mean_price()).scalar()
     return annual.select("VIN", (F.col("annual_co2_t") * price).alias("ets_cost_forecast_eur"))
 
 
@@ -516,10 +515,9 @@ def dq_fuel_totals(spark, sf):
 
 @query(
     "dq_price_range",
-    """SELECT count(*) AS months, min(PriceMonth) AS first_month, max(PriceMonth) AS last_month,
-              avg(EUR_per_t) AS avg_price, min(EUR_per_t) AS min_price, max(EUR_per_t) AS max_price
+    f"""SELECT count(*) AS months, min(PriceMonth) AS first_month, max(PriceMonth) AS last_month,
+              {MEAN_PRICE} AS avg_price, min(EUR_per_t) AS min_price, max(EUR_per_t) AS max_price
        FROM price_curve""",
-    doubles="avg_price",
 )
 def dq_price_range(spark, sf):
     return quality.price_range(src.price_curve(spark, sf))

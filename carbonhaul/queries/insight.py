@@ -266,7 +266,7 @@ def efficiency_parameter(spark, sf):
 @query(
     "scenario_parameter",
     """SELECT "year", concat('Scenario ', ScenarioID) AS scenario_parameter, ScenarioID AS field,
-              ascii(ScenarioID) - 64 AS parameter_order,
+              CAST(ascii(ScenarioID) - 64 AS BIGINT) AS parameter_order,
               ScenarioID = 'B' AS is_default, NPV_EUR FROM scenario_run""",
     doubles="NPV_EUR",
 )

@@ -6,7 +6,7 @@ from ..plans import pricing
 from ..plans import replacement as R
 from ..session import materialized
 from ..sources import testdata as src
-from .registry import query
+from .registry import MEAN_PRICE, query
 
 
 def vehicles(spark, sf):
@@ -14,8 +14,8 @@ def vehicles(spark, sf):
     return R.fleet(src.trips(spark, sf), src.vehicle_ages(F.col("VIN")), price)
 
 
-FLEET = """fleet AS (SELECT VIN, sum(Distance_km) AS km, sum(Fuel_l) AS l, count(*) AS trips,
-     3 + CAST(substr(VIN, 5, 13) AS BIGINT) % 10 AS age, (SELECT avg(EUR_per_t) FROM price_curve) AS price
+FLEET = f"""fleet AS (SELECT VIN, sum(Distance_km) AS km, sum(Fuel_l) AS l, count(*) AS trips,
+     3 + CAST(substr(VIN, 5, 13) AS BIGINT) % 10 AS age, (SELECT {MEAN_PRICE} FROM price_curve) AS price
    FROM trips GROUP BY VIN),
  options AS (SELECT * FROM (VALUES ('ELECTRIC_TRUCK', 180000, 0.12, 0.05, 50000),
      ('HYBRID_TRUCK', 140000, 0.18, 0.4, 15000), ('DIESEL_TRUCK_NEW', 120000, 0.25, 0.67, 0))
@@ -83,6 +83,7 @@ def discount_factors(spark, sf):
     "replacement_cost_matrix",
     f"WITH {FLEET} SELECT * FROM matrix",
     doubles="capex fuel_cost ets_cost total",
+    decimals=4,
 )
 def replacement_cost_matrix(spark, sf):
     return R.cost_matrix(vehicles(spark, sf))
@@ -93,6 +94,7 @@ def replacement_cost_matrix(spark, sf):
     f"""WITH {FLEET} SELECT VIN, month, (km / 12 * 0.25 + l / 12 * 2.68 / 1000 * price) * f AS keep_cost
         FROM fleet, months""",
     doubles="keep_cost",
+    decimals=4,
 )
 def keep_cost_monthly(spark, sf):
     return R.keep_cost(vehicles(spark, sf))
@@ -101,8 +103,9 @@ def keep_cost_monthly(spark, sf):
 @query(
     "best_option_per_vehicle",
     f"""WITH {FLEET} SELECT VIN, option, month, total FROM (SELECT *, row_number() OVER (
-          PARTITION BY VIN ORDER BY round(total, 6), month, option) AS rn FROM matrix) WHERE rn = 1""",
+          PARTITION BY VIN ORDER BY round(total, 4), month, option) AS rn FROM matrix) WHERE rn = 1""",
     doubles="total",
+    decimals=4,
 )
 def best_option_per_vehicle(spark, sf):
     return R.best_option(vehicles(spark, sf))
@@ -165,13 +168,13 @@ SUMMARY_SQL = """SELECT '{s}' AS schedule, 'OPTIMIZED' AS ScenarioID, 'Optimizat
     '{m}' AS OptimizationMethod
   FROM (SELECT *, (n * 18 * p + n * 7500) * (1/1.08 + 1/pow(1.08, 2) + 1/pow(1.08, 3) + 1/pow(1.08, 4)
           + 1/pow(1.08, 5)) - capex AS value
-        FROM (SELECT count(*) AS n, sum("Cost") AS capex, (SELECT avg(EUR_per_t) FROM price_curve) AS p FROM {s}))"""
+        FROM (SELECT count(*) AS n, sum("Cost") AS capex, (SELECT {mean} FROM price_curve) AS p FROM {s}))"""
 
 
 @query(
     "schedule_summary",
-    f"WITH {FLEET} {SUMMARY_SQL.format(s='heuristic', m='HEURISTIC')} UNION ALL "
-    f"{SUMMARY_SQL.format(s='greedy', m='GREEDY')}",
+    f"WITH {FLEET} {SUMMARY_SQL.format(s='heuristic', m='HEURISTIC', mean=MEAN_PRICE)} UNION ALL "
+    f"{SUMMARY_SQL.format(s='greedy', m='GREEDY', mean=MEAN_PRICE)}",
     doubles="CapEx_EUR OpEx_EUR CO2_Reduction_t ETS_Savings_EUR NPV_EUR ROI_Percent Payback_Years",
 )
 def schedule_summary(spark, sf):

@@ -92,6 +92,9 @@ def _literal_list(values):
     return "[" + ", ".join(str(v) for v in values) + "]"
 
 
+# the mean price, independent of the order of summation
+MEAN_PRICE = "CAST(sum(CAST(EUR_per_t AS DECIMAL(20, 10))) AS DOUBLE) / count(EUR_per_t)"
+
 LATS = _literal_list(f"CAST({c[1]} AS DOUBLE)" for c in CITIES)
 LONS = _literal_list(f"CAST({c[2]} AS DOUBLE)" for c in CITIES)
 SUPPLIER_LIST = _literal_list(f"'{s}'" for s in SUPPLIERS)

@@ -8,7 +8,7 @@ from ..operators.merge import merge
 from ..plans import measures as M
 from ..plans import pricing, scenarios
 from ..sources import testdata as src
-from .registry import query
+from .registry import MEAN_PRICE, query
 
 YEARS = (2023, 2032)
 
@@ -233,16 +233,15 @@ def price_curve_build(spark, sf):
 
 @query(
     "avg_price_or_default",
-    """SELECT y AS "year", coalesce(avg(EUR_per_t), 85) AS avg_price
+    f"""SELECT y AS "year", coalesce({MEAN_PRICE}, 85) AS avg_price
        FROM generate_series(2023, 2032) t(y) LEFT JOIN price_curve ON year(PriceMonth) = y GROUP BY ALL""",
-    doubles="avg_price",
 )
 def avg_price_or_default(spark, sf):
     """Mean price of each year of the horizon, the default outside the curve."""
     years = spark.range(YEARS[0], YEARS[1] + 1).select(F.col("id").alias("year"))
     found = src.price_curve(spark, sf).groupBy(
         F.year("PriceMonth").cast("bigint").alias("year")
-    ).agg(F.avg("EUR_per_t").alias("p"))
+    ).agg(pricing.mean_price().alias("p"))
     return years.join(found, "year", "left").select(
         "year", F.coalesce("p", F.lit(85.0)).alias("avg_price")
     )

@@ -10,6 +10,7 @@ from carbonhaul.functions.dates import days_crossed, months_crossed
 from carbonhaul.functions.geo import great_circle_km, planar_km
 from carbonhaul.plans import calcgroups, measures, pricing, timeintel, whatif
 from carbonhaul.sources import testdata as src
+from carbonhaul.streaming.outputs import OUTPUTS
 
 
 def test_context_filters_both_ways(spark, sf):
@@ -93,9 +94,8 @@ def test_scans_read_needed_columns(spark, sf, explain, name):
 EAGER = {  # these run jobs (files, streams, checkpoints) before they return a frame
     "src_csv_scan", "copy_into_defaults", "src_table_scan", "sink_partitioned", "layout_cluster",
     "table_counts", "src_file_discovery", "csv_header_aliases", "fuel_metadata",
-    "stream_file_ingest", "stream_json_source", "stream_dedup", "stream_alerts",
-    "stream_vehicle_daily_stats", "stream_fleet_hourly_stats",
-}
+    "stream_file_ingest", "stream_json_source", "stream_dedup",
+} | {n for n in entry.queries() if n.startswith("stream_") and n[7:] in OUTPUTS}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))

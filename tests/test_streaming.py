@@ -10,7 +10,7 @@ from carbonhaul.session import scratch_path
 from carbonhaul.sources import invoice_files, messages
 from carbonhaul.sources import testdata as src
 from carbonhaul.sources.tables import TableStore
-from carbonhaul.streaming import jobs, telemetry, windows
+from carbonhaul.streaming import jobs, outputs, telemetry, windows
 
 
 def several_files(spark, sf, n=4):
@@ -192,3 +192,12 @@ def test_sources_without_their_connector_fail_clearly(spark):
         messages.kafka_stream(spark, "localhost:9092", "trips")
     except Exception as error:
         assert "kafka" in str(error).lower()
+
+
+def test_all_outputs_together(spark, sf):
+    parsed = src.parsed_messages(src.event_stream(spark, sf))
+    root, progress = scratch_path(spark, "outputs"), scratch_path(spark, "progress")
+    for query in outputs.start_all(parsed, root, progress).values():
+        jobs.finish(query)
+    for name in outputs.OUTPUTS:
+        assert not spark.read.parquet(f"{root}/{name}").isEmpty(), name
