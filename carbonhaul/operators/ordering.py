@@ -5,6 +5,8 @@ collapse to a count first, the distinct values are range partitioned, and every
 its own; the totals of the ranges before it arrive through a small join.
 """
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -39,15 +41,26 @@ def positions(df, value, by=(), descending=False):
     inside = Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return (
-        ranged.withColumn("_ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_range"])
-        .select(*by, value, "n", (F.col("_ahead") + F.col("_offset")).alias("before"))
+    placed = ranged.withColumn("_ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return _join(placed, offsets, by, ["_range"], "inner").select(
+        *by, value, "n", (F.col("_ahead") + F.col("_offset")).alias("before")
+    )
+
+
+def _join(left, right, by, on, how):
+    """Equi-join on group columns, where NULL is a group too, and on others, where it is not."""
+    other = right.select(*[F.col(c).alias(f"_r_{c}") if c in (*by, *on) else F.col(c)
+                           for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in by]
+    same += [F.col(c) == F.col(f"_r_{c}") for c in on]
+    return left.join(other, reduce(lambda a, b: a & b, same), how).drop(
+        *[f"_r_{c}" for c in (*by, *on)]
     )
 
 
 def rank(df, value, by=(), descending=True, name="rank"):
-    """Competition rank (ties share a rank, the next one skips) of every row.
+    """Competition rank (ties share a rank, the next one skips) of every row; NULL values keep
+    their rows and get no rank.
 
     ``df`` is expected to be an aggregate; it is computed once and kept.
     """
@@ -56,7 +69,7 @@ def rank(df, value, by=(), descending=True, name="rank"):
     ranked = positions(df, value, by, descending).select(
         *by, value, (F.col("before") + 1).alias(name)
     )
-    return df.join(ranked, [*by, value]).select(*df.columns, name)
+    return _join(df, ranked, by, [value], "left").select(*df.columns, name)
 
 
 def median(df, value):

@@ -47,10 +47,11 @@ def price_curve_from_quotes(quotes):
 def with_month_price(facts, curve, day, default=DEFAULT_ETS_EUR_PER_T, name="EUR_per_t"):
     """Attach the price of the fact's month, the default where the curve has none.
 
-    The curve has one row per calendar month, so it is safe to broadcast at any fact size.
+    The prices are grouped to one row per calendar month, so the broadcast side has twelve rows a
+    year by construction and cannot multiply the facts.
     """
-    prices = curve.select(
-        F.col("PriceMonth").alias("_month"), F.col("EUR_per_t").alias("_price")
+    prices = curve.groupBy(month_start(F.col("PriceMonth")).alias("_month")).agg(
+        F.max("EUR_per_t").alias("_price")
     )
     return (
         facts.join(F.broadcast(prices), month_start(F.col(day)) == F.col("_month"), "left")

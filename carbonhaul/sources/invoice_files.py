@@ -24,6 +24,11 @@ ALIASES = (
 )
 COMPUTED = ("eur_per_litre",)
 
+# Formats of the table files
+CSV_FORMATS = {
+    "header": "true", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd HH:mm:ss",
+}
+
 FILE_SCHEMA = struct("path string, modificationTime timestamp, length bigint, content binary")
 HEAD_SCHEMA = "path string, header string"
 
@@ -156,12 +161,6 @@ def union_missing(frames):
 
 def read_table_csv(spark, path, schema):
     """A CSV with known columns: no inference, fixed date and time formats."""
-    return (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("dateFormat", "yyyy-MM-dd")
-        .option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-        .csv(path)
-    )
+    return spark.read.schema(schema).options(**CSV_FORMATS).csv(path)
 
 

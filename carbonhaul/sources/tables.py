@@ -117,6 +117,22 @@ class TableStore:
             folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}={row[0]}")
             folder.getFileSystem(conf).delete(folder, True)
 
+    def optimize(self, name, files, where=None):
+        """Rewrite the table (or the partitions ``where`` selects) in ``files`` files ordered by
+        the clustering columns, so that a vehicle's rows lie in few files of each partition."""
+        spec = self.specs[name]
+        rows = self.read(name) if where is None else self.read(name).where(where)
+        columns = [*spec.partition_by, *[c for c in spec.cluster_by if c not in spec.partition_by]]
+        if not spec.partition_by:
+            rows = materialized(rows)
+        writer = (
+            cluster(rows, columns, files).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+        )
+        if spec.partition_by:
+            writer = writer.partitionBy(*spec.partition_by)
+        writer.parquet(self.path(name))
+
     def row_counts(self, names=None):
         """Rows per table as one UNION ALL."""
         frames = [

@@ -94,6 +94,24 @@ def ingest_invoice_files(spark, folder, store, quarantine, checkpoint, max_files
     )
 
 
+def copy_into(spark, folder, schema, store, name, checkpoint):
+    """Load the CSV files of a folder that have not been loaded before.
+
+    ``schema`` names the columns the files hold; the table's other columns take their defaults.
+    """
+    rows = (
+        spark.readStream.schema(schema)
+        .options(**invoice_files.CSV_FORMATS)
+        .csv(folder)
+    )
+    return (
+        rows.writeStream.foreachBatch(lambda batch, _: store.upsert(batch, name))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def archive(frame, path, checkpoint, interval=None):
     """Append-mode output to parquet: rows, or windows that can no longer change."""
     return (

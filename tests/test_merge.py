@@ -113,6 +113,24 @@ def test_unpartitioned_table_and_defaults(spark):
     ]
 
 
+def test_optimize_orders_files_by_vehicle(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    start = dt.datetime(2025, 1, 1, 6)
+    rows = [
+        (f"t{i}", f"V{i * 7 % 20:02d}", start, start + dt.timedelta(hours=1), 1.0, 1.0)
+        for i in range(200)
+    ]
+    store.overwrite(spark.createDataFrame(rows, TRIP_SCHEMA).repartition(5), "TripFacts")
+    before = content(store)
+    store.optimize("TripFacts", 4)
+    assert content(store) == before
+    spans = store.read("TripFacts").groupBy(F.input_file_name().alias("f")).agg(
+        F.min("VIN").alias("lo"), F.max("VIN").alias("hi")
+    ).orderBy("lo").collect()
+    assert len(spans) > 1
+    assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:]))
+
+
 def test_admit_splits_by_rules(spark):
     store = TableStore(spark, scratch_path(spark, "store"))
     bad = list(trip("x", 1))

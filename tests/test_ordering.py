@@ -34,6 +34,14 @@ def test_rank_uses_no_unpartitioned_window(spark, explain):
     assert "Python" not in text
 
 
+def test_null_groups_are_ranked_and_null_values_kept(spark):
+    df = spark.createDataFrame(
+        [(None, 5.0), (None, 7.0), ("a", None), ("a", 1.0)], "g string, v double"
+    )
+    got = {(r["g"], r["v"]): r["rank"] for r in ordering.rank(df, "v", by=["g"]).collect()}
+    assert got == {(None, 5.0): 2, (None, 7.0): 1, ("a", None): None, ("a", 1.0): 1}
+
+
 @settings(max_examples=10, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5).map(float), min_size=1, max_size=30))
