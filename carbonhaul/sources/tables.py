@@ -2,7 +2,6 @@
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -12,14 +11,16 @@ from ..schemas import TABLES
 from ..session import materialized
 
 
+def _folder(spark, path):
+    """(file system, path) of a folder on whatever storage its scheme names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def stored(spark, path, schema):
     """The files below ``path``, or None where nothing has been written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+    system, folder = _folder(spark, path)
+    return spark.read.schema(schema).parquet(path) if system.exists(folder) else None
 
 
 class TableStore:
@@ -111,11 +112,9 @@ class TableStore:
             .groupBy(part).agg(F.bool_and(F.coalesce("_moved", F.lit(False))).alias("gone"))
             .where("gone")
         )
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for row in stale.collect():
-            folder = jvm.org.apache.hadoop.fs.Path(f"{self.path(name)}/{part}={row[0]}")
-            folder.getFileSystem(conf).delete(folder, True)
+            system, folder = _folder(self.spark, f"{self.path(name)}/{part}={row[0]}")
+            system.delete(folder, True)
 
     def optimize(self, name, files, where=None):
         """Rewrite the table (or the partitions ``where`` selects) in ``files`` files ordered by
