@@ -25,12 +25,17 @@ def latest_per_key(df, keys, order_by):
 
 
 def merge(target, source, keys, order_by):
-    """Rows of ``target`` without a partner in ``source``, then all of ``source``.
+    """Upsert ``source`` into ``target``; of several source rows with a key the latest counts."""
+    return replace_rows(target, latest_per_key(source, keys, order_by), keys)
+
+
+def replace_rows(target, fresh, keys):
+    """Rows of ``target`` without a partner in ``fresh``, then all of ``fresh``, which has one row
+    per key.
 
     Equality is SQL equality: NULL keys never match. Spark broadcasts the key list when it is
     small; otherwise AQE splits hot partitions of the anti join's left side.
     """
-    fresh = latest_per_key(source, keys, order_by)
     kept = target.join(fresh.select(*keys), list(keys), "left_anti")
     return kept.select(*target.columns).unionByName(fresh, allowMissingColumns=True)
 

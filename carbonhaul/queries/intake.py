@@ -16,7 +16,15 @@ from ..operators.constraints import (
     union_all,
 )
 from ..operators.merge import merge
-from ..schemas import FUEL_INVOICES, MESSAGE_NUMBERS, PRICE_CURVE, SCENARIO_RUN, TRIP_FACTS
+from ..schemas import (
+    FUEL_INVOICES,
+    FUEL_INVOICES_FROM_FILES,
+    MESSAGE_NUMBERS,
+    PRICE_CURVE,
+    SCENARIO_RUN,
+    TRIP_FACTS,
+    TRIP_FACTS_FROM_MESSAGES,
+)
 from ..session import scratch_path
 from ..sources import invoice_files, messages
 from ..sources import testdata as src
@@ -147,19 +155,19 @@ def trip_project(spark, sf):
 
 @query(
     "stream_json_source",
-    f"""SELECT DISTINCT TripID, VIN, StartTimeUTC, EndTimeUTC, Distance_km, Fuel_l, StartLat, StartLon,
-               EndLat, EndLon, TripDate FROM ({TRIP_ROWS_SQL})""",
+    f"SELECT DISTINCT * EXCLUDE (ProcessedTime) FROM ({TRIP_ROWS_SQL})",
 )
 def stream_json_source(spark, sf):
     """The whole job: message stream, validation, upsert by trip number, table scan."""
-    store = TableStore(spark, scratch_path(spark, "trips"))
+    spec = TRIP_FACTS_FROM_MESSAGES
+    store = TableStore(spark, scratch_path(spark, "trips"), {spec.name: spec})
     lines = src.message_text(src.event_stream(spark, sf))
     jobs.finish(
         jobs.ingest_messages(
             lines, store, scratch_path(spark, "rejects"), scratch_path(spark, "progress")
         )
     )
-    return store.read(TRIP_FACTS.name)
+    return store.read(spec.name).drop("ProcessedTime")
 
 
 # ---- invoices --------------------------------------------------------------------------------
@@ -347,7 +355,9 @@ def fuel_metadata(spark, sf):
 @query(
     "stream_file_ingest",
     """SELECT VIN, CAST(date_trunc('month', CAST(InvoiceDate AS DATE)) AS DATE) AS InvoiceMonth, Litres,
-              EUR_Amount, EUR_Amount / Litres AS EUR_per_Litre, InvoiceNumber, SupplierName
+              EUR_Amount, EUR_Amount / Litres AS EUR_per_Litre, InvoiceNumber, SupplierName,
+              CAST(InvoiceDate AS DATE) AS InvoiceDate, 'DIESEL' AS FuelType, 'UNKNOWN' AS Location,
+              'CSV_IMPORT' AS DataSource
        FROM raw_invoices r WHERE VIN IS NOT NULL AND Litres > 0 AND EUR_Amount > 0
         AND SourceDrop IN (SELECT SourceDrop FROM raw_invoices GROUP BY SourceDrop
           HAVING count(*) FILTER (Litres < 0) = 0
@@ -358,13 +368,14 @@ def fuel_metadata(spark, sf):
 def stream_file_ingest(spark, sf):
     """The whole job: new files are listed once, checked per file and upserted."""
     folder = write_drops(spark, sf)
-    store = TableStore(spark, scratch_path(spark, "invoices"))
+    spec = FUEL_INVOICES_FROM_FILES
+    store = TableStore(spark, scratch_path(spark, "invoices"), {spec.name: spec})
     jobs.finish(
         jobs.ingest_invoice_files(
             spark, folder, store, scratch_path(spark, "rejects"), scratch_path(spark, "progress")
         )
     )
-    return store.read(FUEL_INVOICES.name).drop("CreatedDate")
+    return store.read(spec.name).drop("CreatedDate", "ProcessedTime", "SourceFile")
 
 
 @query(

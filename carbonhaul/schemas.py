@@ -4,7 +4,7 @@ A :class:`TableSpec` carries what a table definition declares besides its column
 columns, defaults, checks, keys and partitioning. ``operators.constraints`` applies it.
 """
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -113,6 +113,30 @@ SCENARIO_RUN = TableSpec(
     merge_keys=("ScenarioID",),
 )
 
+# The tables as the ingest jobs may keep them: declared columns plus those of the feed
+TRIP_FACTS_FROM_MESSAGES = replace(
+    TRIP_FACTS,
+    schema=T.StructType(
+        TRIP_FACTS.schema.fields
+        + struct(
+            "ProcessedTime timestamp, DataSource string, MessageId string, DriverId string, "
+            "RouteId string, EngineHours double, IdleTime double, MaxSpeed double, "
+            "AvgSpeed double"
+        ).fields
+    ),
+)
+FUEL_INVOICES_FROM_FILES = replace(
+    FUEL_INVOICES,
+    schema=T.StructType(
+        FUEL_INVOICES.schema.fields
+        + struct(
+            "InvoiceDate date, FuelType string, Location string, ProcessedTime timestamp, "
+            "DataSource string, SourceFile string"
+        ).fields
+    ),
+    merge_keys=("VIN", "InvoiceNumber", "InvoiceDate"),
+)
+
 TABLES = {s.name: s for s in (TRIP_FACTS, FUEL_INVOICES, PRICE_CURVE, SCENARIO_RUN)}
 
 # Trip-end message: text fields, then numbers, then the times (ISO-8601 text)

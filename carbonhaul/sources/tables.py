@@ -6,7 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators.constraints import conform, split, with_reasons
-from ..operators.merge import latest_per_key, merge
+from ..operators.merge import latest_per_key, replace_rows
 from ..schemas import TABLES
 from ..session import materialized
 
@@ -68,20 +68,23 @@ class TableStore:
     def append(self, df, name):
         return self._write(conform(df, self.specs[name]), name, "append")
 
-    def upsert(self, df, name, order_by=()):
+    def upsert(self, df, name, order_by=(), distinct=False):
         """Update rows with equal merge keys, insert the others.
 
+        Of several rows with a key the greatest by ``order_by`` counts; ``distinct`` says that
+        ``df`` has one row per key already.
         Only partitions that receive rows or lose a matched row are rewritten. Running the same
         batch twice leaves the table as after the first run.
         """
         spec = self.specs[name]
-        order_by = tuple(order_by) or spec.merge_keys
-        source = latest_per_key(conform(df, spec), spec.merge_keys, order_by)
+        source = conform(df, spec)
+        if not distinct:
+            source = latest_per_key(source, spec.merge_keys, tuple(order_by) or spec.merge_keys)
         if not self.exists(name):
             return self._write(source, name, "overwrite")
         target = self.read(name)
         if not spec.partition_by:
-            merged = materialized(merge(target, source, spec.merge_keys, order_by))
+            merged = materialized(replace_rows(target, source, spec.merge_keys))
             return self._write(merged, name, "overwrite")
 
         part = spec.partition_by[0]
@@ -93,7 +96,7 @@ class TableStore:
             touched = [
                 r[0] for r in left.union(source.select(part)).distinct().collect()
             ]
-            merged = merge(target.where(F.col(part).isin(touched)), source, keys, order_by)
+            merged = replace_rows(target.where(F.col(part).isin(touched)), source, keys)
             rows = self._write(merged, name, "overwrite")
             # a partition whose rows all moved elsewhere is not in the written set
             filled = {r[0] for r in source.select(part).distinct().collect()}

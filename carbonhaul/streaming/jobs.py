@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import invoice_intake, trip_intake
 from ..operators.constraints import REASONS, split
-from ..operators.merge import latest_per_key, merge
+from ..operators.merge import latest_per_key, replace_rows
 from ..schemas import FUEL_INVOICES, TRIP_FACTS
 from ..sources import invoice_files, messages
 from ..sources.tables import stored
@@ -37,7 +37,7 @@ def ingest_messages(lines, store, quarantine, checkpoint, interval=None):
             _quarantine(rejected.select("raw", REASONS), quarantine, batch_id)
             latest = latest_per_key(accepted, ["tripId"], ["timestamp", "messageId"])
             rows = trip_intake.trip_rows(latest, F.current_timestamp())
-            store.upsert(rows, TRIP_FACTS.name)
+            store.upsert(rows, TRIP_FACTS.name, distinct=True)
         finally:
             checked.unpersist()
 
@@ -158,9 +158,8 @@ def serve(frame, path, keys, checkpoint, interval=None):
             merged = fresh
             old = stored(spark, path, fresh.schema)
             if old is not None:
-                merged = merge(
-                    old.where(F.col("window_date").isin(days)), fresh, keys, ["last_update"]
-                )
+                # update mode emits one row per key and batch
+                merged = replace_rows(old.where(F.col("window_date").isin(days)), fresh, keys)
             (
                 merged.hint("rebalance", "window_date")
                 .write.mode("overwrite")
