@@ -1,6 +1,7 @@
 """Invoice files with differing delimiters and headers."""
 
 import re
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -57,39 +58,38 @@ def stream_files(spark, folder, max_files=None):
     return reader.load(folder).select("path", "length")
 
 
-def _open(path):
-    from urllib.parse import quote
-
-    from pyarrow import fs
-
-    local = re.match(r"^file:/*(/.*)$", path)
-    if local:
-        return fs.LocalFileSystem().open_input_stream(local.group(1))
-    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", quote(path, safe=":/")))
-    return system.open_input_stream(inner)
-
-
-def _first_line(path):
-    data = b""
-    with _open(path) as stream:
-        while b"\n" not in data:
-            block = stream.read(4096)
-            if not block:
-                break
-            data += block
-    return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+def headers(files):
+    """First line of every file, read by the executors from the head of each file only.
 
+    The task code is nested so that it travels with the job; executors need not have the package.
+    """
 
-def _first_lines(batches):
-    for batch in batches:
-        yield pd.DataFrame(
-            {"path": batch["path"], "header": [_first_line(p) for p in batch["path"]]}
-        )
+    def first_line(path):
+        from pyarrow import fs
 
+        local = re.match(r"^file:/*(/.*)$", path)
+        if local:
+            system, inner = fs.LocalFileSystem(), local.group(1)
+        else:
+            system, inner = fs.FileSystem.from_uri(
+                re.sub(r"^s3[an]:", "s3:", quote(path, safe=":/"))
+            )
+        data = b""
+        with system.open_input_stream(inner) as stream:
+            while b"\n" not in data:
+                block = stream.read(4096)
+                if not block:
+                    break
+                data += block
+        return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
+
+    def first_lines(batches):
+        for batch in batches:
+            yield pd.DataFrame(
+                {"path": batch["path"], "header": [first_line(p) for p in batch["path"]]}
+            )
 
-def headers(files):
-    """First line of every file, read by the executors from the head of each file only."""
-    return files.select("path").repartition("path").mapInPandas(_first_lines, HEAD_SCHEMA)
+    return files.select("path").repartition("path").mapInPandas(first_lines, HEAD_SCHEMA)
 
 
 def delimiter(header):
