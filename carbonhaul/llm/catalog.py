@@ -1,12 +1,14 @@
 """Queries of this package and, where SQL can express them, their SQL."""
 
 from ..session import prepare
-from . import mixing, sharding, url_filter
+from . import block_join, mixing, sharding, topk, url_filter
 
 QUERIES = {
     "op2_url_verdicts": (url_filter.op2_url_verdicts, url_filter.op2_sql()),
     "op3_shard_placement": (sharding.op3_shard_placement, sharding.op3_sql()),
     "op8_mix_sources": (mixing.op8_mix_sources, mixing.op8_sql()),
+    "op9_exact_top_k": (topk.op9_exact_top_k, topk.OP9_SQL),
+    "op10_nearest_neighbours": (block_join.op10_nearest_neighbours, block_join.OP10_SQL),
 }
 
 
