@@ -1,9 +1,10 @@
 """Queries of this package and, where SQL can express them, their SQL."""
 
 from ..session import prepare
-from . import block_join, mixing, sharding, topk, url_filter
+from . import block_join, mixing, packing, sharding, topk, url_filter
 
 QUERIES = {
+    "op1_packing": (packing.op1_packing, None),
     "op2_url_verdicts": (url_filter.op2_url_verdicts, url_filter.op2_sql()),
     "op3_shard_placement": (sharding.op3_shard_placement, sharding.op3_sql()),
     "op8_mix_sources": (mixing.op8_mix_sources, mixing.op8_sql()),
