@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +22,31 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD_BYTES = rb"[0-9a-z\x80-\xff]+"
 
 
+_SHIPPED = set()
+
+
+def ship_package(spark):
+    """Give this package's code to the Python workers, by way of the shared folder."""
+    context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED:
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(top.rglob("*.py")):
+            archive.write(source, source.relative_to(top.parent))
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "code") + f"/{top.name}.zip")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(files.makeQualified(path).toString())
+    _SHIPPED.add(context.applicationId)
+
+
 def text_session(spark):
-    """Small Arrow batches for frames that carry whole texts."""
+    """Small Arrow batches for frames that carry whole texts; the code where it is needed."""
+    ship_package(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark

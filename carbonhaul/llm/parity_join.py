@@ -14,10 +14,13 @@ last in that order has at least ``blocks - d - 1`` others below it on both sides
 it out. ``d + 1`` keys per document and band remain.
 
 Rows with equal sets are one class from then on. In each bucket of equal keys the smallest class
-leads and is compared with all others; components follow; then only members of one bucket that are
-still in different components are compared. So thousands of near copies cost a few comparisons each
-and not all pairs, and no link between components is missed. Comparisons are exact: they count the
-n-grams of both texts.
+leads and is compared with all others, and components follow. Members of one bucket that are still
+in different components are then held against each other by bit sketches, in blocks within a task:
+there an n-gram flips one bit, the Hamming distance is again a lower bound, and pairs whose distance
+exceeds ``d`` go no further. First each member is compared with its nearest one in another component;
+then, with the components that follow, all pairs that the sketches leave. So thousands of near
+copies cost a few comparisons each and not all pairs, and no link between components is missed.
+Comparisons are exact: they count the n-grams of both texts.
 
 Defined cases: A-Z are lower-cased, words are ``[^\\x20\\x09-\\x0D]+``; a text of fewer words than an
 n-gram has is one element as a whole; a text without words, or null, has no element and links with
@@ -39,6 +42,10 @@ from .components import components
 NGRAM, PERCENT = 4, 85
 #: sketch words beyond those that may differ, as a share of them
 SPARE = 4
+#: bits of a bit sketch, as a multiple of the elements that may differ
+BITS = 8
+#: members of a bucket that are held against as many others at a time
+CHUNK = 1024
 #: words whose hashes a worker keeps
 KEPT_WORDS = 400_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
@@ -110,15 +117,32 @@ def bands(percent):
     return np.array(starts), spans
 
 
+def own_band(size, percent):
+    return int(np.searchsorted(bands(percent)[0], size, "right")) - 1
+
+
+def bit_sketch(elements, d):
+    """Parity of the elements per bit."""
+    words = -(-BITS * (d + 1) // 64)
+    low = elements & np.uint64(0xFFFFFFFF)
+    flips = np.bincount(
+        ((low * np.uint64(words * 64)) >> np.uint64(32)).astype("int64"), minlength=words * 64
+    )
+    return np.packbits((flips & 1).astype("uint8")).tobytes()
+
+
 def band_keys(elements, percent):
-    """Join keys of a set in its own band and, as the larger partner, in the one below."""
-    starts, spans = bands(percent)
-    own = int(np.searchsorted(starts, len(elements), "right")) - 1
-    keys = []
-    for band in (own - 1, own):
+    """Join keys of a set, and its bit sketches, in its own band and in the one below, where it
+    may be the larger partner (an empty sketch if it is too large for that)."""
+    spans = bands(percent)[1]
+    own = own_band(len(elements), percent)
+    keys, bits = [], []
+    for band in (own, own - 1):
         if band < 0 or (band < own and len(elements) > spans[band][0]):
+            bits.append(b"")
             continue
         d = spans[band][1]
+        bits.append(bit_sketch(elements, d))
         spare = -(-d // SPARE)
         blocks = d + 1 + spare
         place = ((elements >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
@@ -135,14 +159,17 @@ def band_keys(elements, percent):
             value = np.concatenate((value, np.zeros(len(none), "uint64")))
             place = np.concatenate((place, none))
         keys.append(mixed(value ^ mixed((np.uint64(band) << np.uint64(32)) + place + np.uint64(1))))
-    return np.concatenate(keys).view("int64")
+    return np.concatenate(keys).view("int64"), own, *bits
 
 
-SKETCHED = "doc_id long, n_shingles long, class long, class2 long, keys array<long>"
+SKETCHED = (
+    "doc_id long, n_shingles long, class long, class2 long, keys array<long>, band int, "
+    "bits binary, bits_below binary"
+)
 
 
 def sketched(docs, ngram, percent):
-    """Size, class (128 bits of the whole set) and join keys of every document.
+    """Size, class (128 bits of the whole set), join keys and bit sketches of every document.
 
     A task gives the keys of a class once, so that a group of copies adds a few rows per task.
     """
@@ -151,25 +178,24 @@ def sketched(docs, ngram, percent):
         import pyarrow as pa
         import xxhash
 
-        of, seen = shingles(ngram).of, set()
+        of, seen, nothing = shingles(ngram).of, set(), ([], None, None, None)
+        types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
-            sizes, high, low, keys = [], [], [], []
+            rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 elements = of(text)
                 digest = xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else bytes(16)
-                a, b = np.frombuffer(digest, "int64").tolist()
-                sizes.append(len(elements))
-                high.append(a)
-                low.append(b)
+                made = nothing
                 if len(elements) and doc is not None and digest not in seen:
                     seen.add(digest)
-                    keys.append(band_keys(elements, percent))
-                else:
-                    keys.append([])
-            columns = (batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, high, low)))
+                    made = band_keys(elements, percent)
+                rows.append((len(elements), *np.frombuffer(digest, "int64").tolist(), *made))
+            columns = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "class2", "keys"],
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
+                names=[
+                    "doc_id", "n_shingles", "class", "class2", "keys", "band", "bits", "bits_below"
+                ],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -238,10 +264,65 @@ def links(pairs, docs, ngram, percent):
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def within_buckets(rows, percent, nearest_only):
+    """Pairs (leader, class) of ``rows`` (bucket, class, part, size, bits) in different components
+    whose bit sketches allow a link; or each member's nearest of them.
+
+    Large buckets are cut into chunks; every pair of chunks is one group.
+    """
+    from pyspark.sql import Window
+
+    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("bucket")) / F.lit(CHUNK)).cast("int")
+    dealt = rows.withColumn("chunks", chunks).withColumn(
+        "chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    )
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
+        "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
+        "chunk", "class", "part", "size", "bits",
+    )
+
+    def hold(group):
+        import pyarrow as pa
+
+        ids, parts, sizes = (group.column(c).to_numpy() for c in ("class", "part", "size"))
+        chunk = group.column("chunk").to_numpy()
+        one, other = (group.column(c)[0].as_py() for c in ("i", "j"))
+        x, y = np.flatnonzero(chunk == one), np.flatnonzero(chunk == other)
+        bits = group.column("bits").to_pylist()
+        bits = np.frombuffer(b"".join(bits), "uint64").reshape(len(bits), -1)
+        found = []
+        step = max(1, (1 << 21) // max(1, len(y) * bits.shape[1]))
+        for start in range(0, len(x), step):
+            some = x[start : start + step, None]
+            total = sizes[some] + sizes[y]
+            far = np.bitwise_count(bits[some] ^ bits[y]).sum(axis=2, dtype="int64")
+            able = (parts[some] != parts[y]) & ((100 + percent) * far <= (100 - percent) * total)
+            able &= 100 * np.minimum(sizes[some], sizes[y]) >= percent * np.maximum(sizes[some], sizes[y])
+            if one == other:
+                able &= True if nearest_only else some < y
+            if nearest_only:
+                far = np.where(able, far, far.max(initial=0) + 1)
+                rows_with, columns_with = able.any(axis=1), able.any(axis=0)
+                found.append((some[rows_with, 0], y[far.argmin(axis=1)[rows_with]]))
+                if one != other:
+                    found.append((some[far.argmin(axis=0)[columns_with], 0], y[columns_with]))
+            else:
+                p, q = np.nonzero(able)
+                found.append((some[p, 0], y[q]))
+        p = np.concatenate([f[0] for f in found]) if found else np.empty(0, "int64")
+        q = np.concatenate([f[1] for f in found]) if found else np.empty(0, "int64")
+        return pa.table({"leader": ids[p], "class": ids[q]})
+
+    pairs = dealt.groupBy("bucket", "i", "j").applyInArrow(hold, "leader long, class long")
+    return pairs.select(
+        F.least("leader", "class").alias("leader"), F.greatest("leader", "class").alias("class")
+    ).distinct()
+
+
 def joined(docs, ngram=NGRAM, percent=PERCENT):
     """doc_id, n_shingles, component_id of every row."""
     sketches = staged(sketched(docs, ngram, percent), "join-sketches")
-    facts = sketches.drop("keys")
+    facts = sketches.select("doc_id", "n_shingles", "class", "class2")
     named = facts.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(
         named.groupBy("class", "class2").agg(
@@ -258,9 +339,12 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         )
         other = classes.select("class", F.col("node").alias("b"), F.col("size").alias("size_b"))
         fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-        return (
-            pairs.join(one, "leader").join(other, "class").where(fits & (F.col("a") != F.col("b")))
-            .select("a", "b").distinct()
+        pairs = pairs.join(one, "leader").join(other, "class").where(fits & (F.col("a") != F.col("b")))
+        return staged(pairs.select("a", "b").distinct(), "join-pairs")
+
+    def parts_of(found):
+        return classes.join(components(found), "node", "left").select(
+            "class", "class2", F.coalesce("component", "node").alias("part")
         )
 
     # a doc_id with several texts links their classes
@@ -270,45 +354,45 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         .where("a <> z").drop("z").join(several, "doc_id")
         .select("a", F.col("node").alias("b")).where("a <> b")
     )
-    first = staged(comparable(members.select("leader", "class").distinct()), "join-pairs")
-    found = staged(links(first, docs, ngram, percent).unionByName(several), "join-links")
-    parts = components(found)
+    led = comparable(members.select("leader", "class").distinct())
+    found = staged(links(led, docs, ngram, percent).unionByName(several), "join-links")
+    parts = staged(parts_of(found), "join-parts")
 
     # members of one bucket in different components, apart from its leader
-    placed = staged(
-        classes.join(parts, "node", "left").select(
-            "class", F.coalesce("component", "node").alias("part"), "size"
-        ), "join-parts",
-    )
-    within = members.join(placed, "class")
-    mixed_buckets = (
-        within.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"))
-        .where("p <> q").select("bucket")
-    )
-    open_rows = staged(
-        within.join(mixed_buckets, "bucket", "left_semi").select("bucket", "class", "part", "size"),
-        "join-open",
-    )
-    if not open_rows.isEmpty():
-        x = open_rows.select("bucket", F.col("class").alias("leader"), "part", "size")
-        y = open_rows.select(
-            "bucket", "class", F.col("part").alias("part_y"), F.col("size").alias("size_y")
+    bits = staged(
+        sketches.where("band IS NOT NULL").join(
+            members.select("class").distinct(), "class", "left_semi"
         )
-        fits = F.least("size", "size_y") * 100 >= F.greatest("size", "size_y") * percent
-        rest = x.join(y, "bucket").where((F.col("part") < F.col("part_y")) & fits)
-        second = staged(comparable(rest.select("leader", "class").distinct()), "join-pairs")
-        more = staged(links(second, docs, ngram, percent), "join-links")
-        if not more.isEmpty():
-            parts = components(found.unionByName(more))
-
-    whole = classes.join(parts, "node", "left").select(
-        "class", "class2", F.coalesce("component", "node").alias("component")
+        .groupBy("class")
+        .agg(*(F.first(c).alias(c) for c in ("n_shingles", "band", "bits", "bits_below"))),
+        "join-bits",
     )
+    for nearest_only in (True, False):
+        within = members.join(parts.groupBy("class").agg(F.min("part").alias("part")), "class")
+        unlike = (
+            within.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"))
+            .where("p <> q").select("bucket")
+        )
+        still = staged(
+            within.join(unlike, "bucket", "left_semi").select("bucket", "class", "part"), "join-open"
+        )
+        if still.isEmpty():
+            break
+        known = still.join(bits, "class")
+        lowest = known.groupBy("bucket").agg(F.min("band").alias("lowest"))
+        sketch = F.when(F.col("band") == F.col("lowest"), F.col("bits")).otherwise(F.col("bits_below"))
+        rows = known.join(lowest, "bucket").select(
+            "bucket", "class", "part", F.col("n_shingles").alias("size"), sketch.alias("bits")
+        )
+        more = links(comparable(within_buckets(rows, percent, nearest_only)), docs, ngram, percent)
+        found = staged(found.unionByName(more), "join-links")
+        parts = staged(parts_of(found), "join-parts")
+
     has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return facts.join(whole, ["class", "class2"], "left").select(
+    return facts.join(parts, ["class", "class2"], "left").select(
         "doc_id",
         "n_shingles",
-        F.when(has_class, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(has_class, F.col("part")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
 
