@@ -7,9 +7,11 @@ texts less ``prior`` times that over toxic ones. That difference cannot be negat
 model; where a batch makes it so, the step goes back instead of on, which keeps a flexible model
 from memorising the positives.
 
-Features are the distinct words of a text and their first letters. They are counted over all training
-documents; those most over-represented in toxic ones are kept. The linear model over them is
-trained with numpy on a bounded sample (``POSITIVES``, ``UNLABELLED``); all documents are scored.
+Features are the distinct words of a text and their first letters, counted over all training
+documents. Only a part of the toxic documents is confirmed, so a feature that occurs in toxic
+documents alone is found in confirmed ones to that part; features are kept whose share of confirmed
+documents surely reaches half of it, the most over-represented first. The linear model over them
+is trained with numpy on a bounded sample (``POSITIVES``, ``UNLABELLED``); all documents are scored.
 
 Defined cases: A-Z are lower-cased; a null or empty text has no features and gets the model's
 score for none; without a confirmed toxic training row every score is 0; rows that share a doc_id
@@ -32,7 +34,9 @@ FOLDS = 5
 #: expected numbers of confirmed toxic and of all training texts in the training sample
 POSITIVES, UNLABELLED = 6_000, 20_000
 #: features of the model, and in how many toxic texts one occurs at least
-FEATURES, LEAST = 2_048, 3
+FEATURES, LEAST = 2_048, 4
+#: part of the documents with a feature that must be toxic, by the lower end of its estimate
+PURITY = 0.5
 #: lengths of the first letters (bytes) that are features beside whole words
 STARTS = (4, 5, 6)
 #: features a task counts before it hands them on
@@ -40,7 +44,7 @@ HELD = 300_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
 SMALL_IDS = 500_000
 
-EPOCHS, BATCH, RATE, DECAY = 12, 512, 0.03, 1e-4
+EPOCHS, BATCH, RATE, DECAY = 30, 2048, 0.05, 1e-4
 
 find_words = re.compile(WORD_BYTES).findall
 
@@ -115,9 +119,13 @@ def fit(docs, labels):
     if not n_toxic:
         return None
     share = F.lit(n_toxic / n_all)
+    confirmed = n_toxic / (prior * n_all)
+    # Wilson's lower bound, one standard deviation below
+    n, q = F.col("total"), F.col("positive") / F.col("total")
+    lower = (q + 0.5 / n - F.sqrt(q * (1 - q) / n + 0.25 / (n * n))) / (1 + 1 / n)
     over = F.col("positive") * F.log(F.col("positive") / (F.col("total") * share))
     chosen = (
-        feature_counts(rows).where(F.col("positive") >= LEAST)
+        feature_counts(rows).where((F.col("positive") >= LEAST) & (lower >= PURITY * confirmed))
         .orderBy(F.desc(over), "feature").limit(FEATURES).select("feature").collect()
     )
     names = [bytes(r.feature) for r in chosen]
@@ -172,11 +180,11 @@ def sigmoid(z):
 
 
 def train(positive, unlabelled, width, prior, epochs=EPOCHS, seed=7):
-    """Weights and bias that minimise the non-negative risk with the logistic loss."""
+    """Weights and bias that minimise the non-negative risk with the sigmoid loss."""
     prior = min(max(prior, 1e-3), 0.5)
     rng = np.random.default_rng(seed)
     w, state = np.zeros(width + 1), [np.zeros(width + 1), np.zeros(width + 1)]
-    w[-1] = math.log(prior / (1 - prior))
+    w[-1] = -1.0
     steps = 0
     batches = max(1, -(-len(unlabelled) // BATCH))
     for _ in range(epochs):
@@ -186,10 +194,12 @@ def train(positive, unlabelled, width, prior, epochs=EPOCHS, seed=7):
             x_p = dense([positive[i] for i in some], width)
             x_u = dense([unlabelled[i] for i in part], width)
             z_p, z_u = x_p @ w[:-1] + w[-1], x_u @ w[:-1] + w[-1]
-            clean_risk = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-            g_clean = _gradient(x_u, sigmoid(z_u)) - prior * _gradient(x_p, sigmoid(z_p))
+            p, u = sigmoid(z_p), sigmoid(z_u)
+            clean_risk = u.mean() - prior * p.mean()
+            g_toxic = _gradient(x_p, p * (1 - p))
+            g_clean = _gradient(x_u, u * (1 - u)) - prior * g_toxic
             if clean_risk >= 0:
-                step = prior * _gradient(x_p, sigmoid(z_p) - 1) + g_clean
+                step = g_clean - prior * g_toxic
             else:
                 step = -g_clean
             step[:-1] += DECAY * w[:-1]
