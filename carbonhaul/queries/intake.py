@@ -544,6 +544,20 @@ def pk_violations(spark, sf):
     return key_violations(existing.unionByName(incoming), ["TripID"])
 
 
+@query(
+    "pk_violations_price_month",
+    """SELECT PriceMonth, count(*) AS copies FROM (
+         SELECT PriceMonth FROM price_curve UNION ALL
+         SELECT PriceMonth FROM price_curve WHERE month(PriceMonth) % 4 = 1)
+       GROUP BY PriceMonth HAVING count(*) > 1""",
+)
+def pk_violations_price_month(spark, sf):
+    """Months quoted by more than one row, after a second delivery of every fourth month."""
+    curve = src.price_curve(spark, sf).select(*PRICE_CURVE.primary_key)
+    second = curve.where(F.month("PriceMonth") % 4 == 1)
+    return key_violations(curve.unionByName(second), list(PRICE_CURVE.primary_key))
+
+
 @query(
     "layout_cluster",
     """SELECT VIN, count(*) AS trips, min(StartTimeUTC) AS first_start, max(StartTimeUTC) AS last_start,

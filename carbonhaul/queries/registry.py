@@ -196,7 +196,8 @@ SELECT y AS "year", coalesce(fleet_size, 40) AS fleet_size, coalesce(distance_km
        coalesce(km_per_vehicle, 20000) AS km_per_vehicle,
        coalesce(fuel_per_vehicle, 6000) AS fuel_per_vehicle,
        coalesce(efficiency_l_100km, 30) AS efficiency_l_100km
-FROM generate_series(2023, 2032) t(y) LEFT JOIN baseline_year b ON b."year" = y""",
+FROM (SELECT unnest(generate_series(2023, 2032)) AS y UNION SELECT "year" FROM baseline_year)
+LEFT JOIN baseline_year b ON b."year" = y""",
     "scenario_run": """
 SELECT "year", ScenarioID, ScenarioName, CAST(60 AS BIGINT) AS TimeHorizon_months,
        CAST(n AS BIGINT) AS VehiclesReplaced, CAST(n1 AS BIGINT) AS ElectricVehicles,

@@ -10,17 +10,23 @@ from ..plans import pricing, scenarios
 from ..sources import testdata as src
 from .registry import MEAN_PRICE, query
 
-YEARS = (2023, 2032)
+#: years that are planned in any case; those of the trips are added
+HORIZON = (2023, 2032)
 
 
 def yearly_baseline(spark, sf):
     """Fleet figures per calendar year, the default fleet in years without trips."""
-    years = spark.range(YEARS[0], YEARS[1] + 1).select(F.col("id").alias("year"))
     found = scenarios.baseline(
         src.trips(spark, sf), by=[F.year("TripDate").cast("bigint").alias("year")]
     )
     # one row per year on either side
-    return scenarios.or_default(years.join(found, "year", "left"))
+    return scenarios.or_default(with_horizon(spark, found))
+
+
+def with_horizon(spark, found):
+    """The rows of ``found`` per year, and a row without figures for each other planned year."""
+    planned = spark.range(HORIZON[0], HORIZON[1] + 1).select(F.col("id").alias("year"))
+    return planned.join(found, "year", "full_outer")
 
 
 def yearly_scenarios(spark, sf):
@@ -152,8 +158,9 @@ def merge_upsert_scenarios(spark, sf):
     runs = scenarios_from_baseline(spark, sf).select(
         "ScenarioID", "year", "NPV_EUR", "CapEx_EUR"
     )
-    first = runs.where(F.col("year") <= 2026)
-    later = runs.where(F.col("year") > 2026)
+    middle = runs.agg(F.floor(F.avg("year"))).first()[0]
+    first = runs.where(F.col("year") <= middle)
+    later = runs.where(F.col("year") > middle)
     return merge(merge(first.limit(0), first, ["ScenarioID"], ["year"]), later,
                  ["ScenarioID"], ["year"])
 
@@ -234,15 +241,15 @@ def price_curve_build(spark, sf):
 @query(
     "avg_price_or_default",
     f"""SELECT y AS "year", coalesce({MEAN_PRICE}, 85) AS avg_price
-       FROM generate_series(2023, 2032) t(y) LEFT JOIN price_curve ON year(PriceMonth) = y GROUP BY ALL""",
+       FROM (SELECT unnest(generate_series(2023, 2032)) AS y UNION SELECT year(PriceMonth) FROM price_curve)
+       LEFT JOIN price_curve ON year(PriceMonth) = y GROUP BY ALL""",
 )
 def avg_price_or_default(spark, sf):
     """Mean price of each year of the horizon, the default outside the curve."""
-    years = spark.range(YEARS[0], YEARS[1] + 1).select(F.col("id").alias("year"))
     found = src.price_curve(spark, sf).groupBy(
         F.year("PriceMonth").cast("bigint").alias("year")
     ).agg(pricing.mean_price().alias("p"))
-    return years.join(found, "year", "left").select(
+    return with_horizon(spark, found).select(
         "year", F.coalesce("p", F.lit(85.0)).alias("avg_price")
     )
 

@@ -1,6 +1,5 @@
 """Session settings and the shared scratch folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -47,7 +46,7 @@ def checkpoint_root(spark):
     """The shared folder named by ``spark.checkpoint.dir``.
 
     A cluster must name one: only then do checkpoints and staged tables outlive an executor.
-    A local session without the setting gets a fresh temporary folder.
+    A local session without the setting uses the folder ``scratch`` beside its warehouse.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
@@ -60,7 +59,8 @@ def checkpoint_root(spark):
     if root is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="carbonhaul-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        root = f"{warehouse.rsplit('/', 1)[0]}/scratch"
     if current is None:
         context.setCheckpointDir(root)
     return root

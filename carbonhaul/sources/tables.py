@@ -23,6 +23,12 @@ def stored(spark, path, schema):
     return spark.read.schema(schema).parquet(path) if system.exists(folder) else None
 
 
+def _among(column, values):
+    """Rows whose value is one of ``values``, of which one may be None."""
+    known = F.col(column).isin([v for v in values if v is not None])
+    return known | F.col(column).isNull() if None in values else known
+
+
 class TableStore:
     """Parquet tables described by :data:`carbonhaul.schemas.TABLES`.
 
@@ -96,7 +102,7 @@ class TableStore:
             touched = [
                 r[0] for r in left.union(source.select(part)).distinct().collect()
             ]
-            merged = replace_rows(target.where(F.col(part).isin(touched)), source, keys)
+            merged = replace_rows(target.where(_among(part, touched)), source, keys)
             rows = self._write(merged, name, "overwrite")
             # a partition whose rows all moved elsewhere is not in the written set
             filled = {r[0] for r in source.select(part).distinct().collect()}
@@ -110,13 +116,14 @@ class TableStore:
     def _drop_stale(self, name, part, values, source, keys):
         """Remove partitions that still hold only rows the batch has moved away."""
         stale = (
-            self.read(name).where(F.col(part).isin(values))
+            self.read(name).where(_among(part, values))
             .join(source.select(*keys, F.lit(True).alias("_moved")), keys, "left")
             .groupBy(part).agg(F.bool_and(F.coalesce("_moved", F.lit(False))).alias("gone"))
             .where("gone")
         )
         for row in stale.collect():
-            system, folder = _folder(self.spark, f"{self.path(name)}/{part}={row[0]}")
+            value = "__HIVE_DEFAULT_PARTITION__" if row[0] is None else row[0]
+            system, folder = _folder(self.spark, f"{self.path(name)}/{part}={value}")
             system.delete(folder, True)
 
     def optimize(self, name, files, where=None):

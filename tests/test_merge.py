@@ -85,6 +85,29 @@ def test_store_upsert_moves_and_replays(spark):
     assert content(store) == expected
 
 
+def test_store_keeps_rows_without_partition_value(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+
+    def undated(vin, litres):
+        return spark.createDataFrame(
+            [(vin, None, litres, 9.0, f"INV-{vin}")],
+            "VIN string, InvoiceMonth date, Litres double, EUR_Amount double, InvoiceNumber string",
+        )
+
+    store.upsert(undated("V1", 1.0), "FuelInvoices")
+    store.upsert(undated("V3", 3.0), "FuelInvoices")
+    assert sorted(r["VIN"] for r in store.read("FuelInvoices").collect()) == ["V1", "V3"]
+
+
+def test_years_beyond_the_horizon_stay(spark):
+    from carbonhaul.queries.scenario import with_horizon
+
+    found = spark.createDataFrame([(2022, 1.0), (2025, 2.0), (2035, 3.0)], "year long, fleet_size double")
+    rows = {r["year"]: r["fleet_size"] for r in with_horizon(spark, found).collect()}
+    assert set(rows) == {2022, 2035, *range(2023, 2033)}
+    assert (rows[2022], rows[2025], rows[2030], rows[2035]) == (1.0, 2.0, None, 3.0)
+
+
 def test_store_rewrites_touched_days_only(spark):
     store = TableStore(spark, scratch_path(spark, "store"))
     store.upsert(
