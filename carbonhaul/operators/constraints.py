@@ -93,6 +93,22 @@ def check_violations(df, spec):
     )
 
 
+def check_reasons(df, spec, key=(), taken=None):
+    """The rows with the names of the CHECKs they break, and ``primary_key`` where several rows
+    have the ``key`` or ``taken`` (stored rows) has it."""
+    broken = {name: F.expr(sql) for name, sql in spec.checks.items()}
+    key = list(key)
+    if not key:
+        return pinned(df.withColumn(REASONS, reasons(broken)))
+    twice = key_violations(df, key).select(*key)
+    twice = twice if taken is None else twice.unionByName(taken.select(*key)).distinct()
+    marked = df.join(twice.withColumn("_twice", F.lit(True)), key, "left").select(
+        *df.columns, "_twice"
+    )
+    broken["primary_key"] = F.col("_twice").isNull()
+    return pinned(marked.withColumn(REASONS, reasons(broken)).drop("_twice"))
+
+
 def key_violations(df, key):
     """Key values held by more than one row (partial counts precede the shuffle)."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")

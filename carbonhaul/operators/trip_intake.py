@@ -58,8 +58,8 @@ def with_reasons(messages):
     return pinned(pinned(messages).withColumn(REASONS, reasons(rules)))
 
 
-def trip_rows(messages, processed_time):
-    """Trip table columns plus the lineage of the message."""
+def trip_rows(messages, processed_time, *more):
+    """Trip table columns plus the lineage of the message, and ``more`` columns."""
     return messages.select(
         F.col("tripId").alias("TripID"),
         F.col("vin").alias("VIN"),
@@ -81,4 +81,5 @@ def trip_rows(messages, processed_time):
         F.col("idleTime").alias("IdleTime"),
         F.col("maxSpeed").alias("MaxSpeed"),
         F.col("avgSpeed").alias("AvgSpeed"),
+        *more,
     )

@@ -167,7 +167,7 @@ def stream_json_source(spark, sf):
             lines, store, scratch_path(spark, "rejects"), scratch_path(spark, "progress")
         )
     )
-    return store.read(spec.name).drop("ProcessedTime")
+    return store.read(spec.name).drop("ProcessedTime", "MessageTime")
 
 
 # ---- invoices --------------------------------------------------------------------------------
@@ -375,7 +375,7 @@ def stream_file_ingest(spark, sf):
             spark, folder, store, scratch_path(spark, "rejects"), scratch_path(spark, "progress")
         )
     )
-    return store.read(spec.name).drop("CreatedDate", "ProcessedTime", "SourceFile")
+    return store.read(spec.name).drop("CreatedDate", "ProcessedTime", "SourceFile", "FileTime")
 
 
 @query(
@@ -533,6 +533,27 @@ def check_constraints(spark, sf):
     )
 
 
+@query(
+    "store_refused_rows",
+    """SELECT reject_reasons, count(*) AS rows FROM (SELECT concat_ws(',',
+              CASE WHEN Litres IS NULL OR NOT Litres > 0 THEN 'chk_positive_litres' END,
+              CASE WHEN EUR_Amount IS NULL OR NOT EUR_Amount > 0 THEN 'chk_positive_amount' END) AS reject_reasons
+            FROM raw_invoices) GROUP BY ALL""",
+)
+def store_refused_rows(spark, sf):
+    """Invoices as delivered, written to a table: its rows, and the refused ones by reason."""
+    store = TableStore(spark, scratch_path(spark, "invoices"))
+    rows = src.raw_invoices(spark, sf).withColumn(
+        "InvoiceMonth", F.trunc(F.to_date("InvoiceDate"), "month")
+    )
+    store.overwrite(rows, FUEL_INVOICES.name)
+    found = store.read(FUEL_INVOICES.name).select(F.lit("").alias(REASONS))
+    refused = store.refused(FUEL_INVOICES.name)
+    if refused is not None:
+        found = found.unionByName(refused.select(F.concat_ws(",", REASONS).alias(REASONS)))
+    return found.groupBy(REASONS).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "pk_violations",
     """SELECT concat('T', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS TripID, count(*) AS copies

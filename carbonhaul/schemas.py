@@ -18,6 +18,7 @@ class TableSpec:
     checks: dict = field(default_factory=dict)  # constraint -> SQL predicate
     primary_key: tuple = ()
     merge_keys: tuple = ()
+    order_by: tuple = ()  # of rows with equal merge keys the greatest counts, stored or new
     partition_by: tuple = ()
     cluster_by: tuple = ()
 
@@ -121,9 +122,10 @@ TRIP_FACTS_FROM_MESSAGES = replace(
         + struct(
             "ProcessedTime timestamp, DataSource string, MessageId string, DriverId string, "
             "RouteId string, EngineHours double, IdleTime double, MaxSpeed double, "
-            "AvgSpeed double"
+            "AvgSpeed double, MessageTime timestamp"
         ).fields
     ),
+    order_by=("MessageTime", "MessageId"),
 )
 FUEL_INVOICES_FROM_FILES = replace(
     FUEL_INVOICES,
@@ -131,12 +133,16 @@ FUEL_INVOICES_FROM_FILES = replace(
         FUEL_INVOICES.schema.fields
         + struct(
             "InvoiceDate date, FuelType string, Location string, ProcessedTime timestamp, "
-            "DataSource string, SourceFile string"
+            "DataSource string, SourceFile string, FileTime timestamp"
         ).fields
     ),
     merge_keys=("VIN", "InvoiceNumber", "InvoiceDate"),
+    order_by=("FileTime", "SourceFile"),
 )
 
+#: when a row was written says nothing about which of two rows is the newer one
+WRITE_TIMES = ("ProcessedTime", "CreatedDate", "LastUpdated")
+
 TABLES = {s.name: s for s in (TRIP_FACTS, FUEL_INVOICES, PRICE_CURVE, SCENARIO_RUN)}
 
 # Trip-end message: text fields, then numbers, then the times (ISO-8601 text)

@@ -30,6 +30,11 @@ CSV_FORMATS = {
     "header": "true", "dateFormat": "yyyy-MM-dd", "timestampFormat": "yyyy-MM-dd HH:mm:ss",
 }
 
+#: columns that the row's own file has, as opposed to the frame
+PRESENT = "columns_present"
+# as scans spell it; a listing's path may be spelled otherwise
+SOURCE_FILE = "_metadata.file_path AS SourceFile"
+
 FILE_SCHEMA = struct("path string, modificationTime timestamp, length bigint, content binary")
 HEAD_SCHEMA = "path string, header string"
 
@@ -41,7 +46,7 @@ def list_files(spark, folder):
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", EXTENSIONS)
         .load(folder)
-        .select("path", "length", "modificationTime")
+        .selectExpr("path", "length", "modificationTime", SOURCE_FILE)
     )
 
 
@@ -55,7 +60,7 @@ def stream_files(spark, folder, max_files=None):
     )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(folder).select("path", "length")
+    return reader.load(folder).selectExpr("path", "length", SOURCE_FILE)
 
 
 def headers(files):
@@ -118,8 +123,10 @@ def canonical_names(names):
 
 
 def read_files(spark, files):
-    """All listed files as one frame of text columns with ``SourceFile``.
+    """All listed files as one frame of text columns with ``SourceFile`` and ``FileTime``.
 
+    ``columns_present`` names the columns that a row's own file has, so that nothing later depends
+    on which files are read together.
     Files are grouped by header line; each group is one scan with an explicit schema. The driver
     holds one path per file, as Spark's own file index does, and never file contents.
     """
@@ -146,12 +153,19 @@ def read_files(spark, files):
         frames.append(
             frame.select(
                 *[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n],
-                F.col("_metadata.file_path").alias("SourceFile"),
+                F.array(*[F.lit(n) for n in names if n]).cast("array<string>").alias(PRESENT),
+                F.expr(SOURCE_FILE),
+                F.col("_metadata.file_modification_time").alias("FileTime"),
             )
         )
     return union_missing(frames) if frames else None
 
 
+def without_rows(files, raw):
+    """``SourceFile`` of every listed file of which ``raw`` holds no row."""
+    return files.select("SourceFile").join(raw.select("SourceFile"), "SourceFile", "left_anti")
+
+
 def union_missing(frames):
     out = frames[0]
     for frame in frames[1:]:

@@ -2,12 +2,14 @@
 
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.constraints import conform, split, with_reasons
+from ..operators.constraints import REASONS, check_reasons, conform, split, with_reasons
 from ..operators.merge import latest_per_key, replace_rows
-from ..schemas import TABLES
+from ..schemas import TABLES, WRITE_TIMES
 from ..session import materialized
 
 
@@ -34,6 +36,11 @@ class TableStore:
 
     For catalogs with row-level operations use ``operators.merge.merge_catalog_table`` instead of
     :meth:`upsert`; that also makes concurrent writers safe. This class allows one writer.
+
+    Rows that break a CHECK or the primary key are not written; :meth:`refused` has them. NOT NULL
+    is applied by :meth:`admit`. A rewrite is staged beside the tables and then published. A
+    publication that was cut off is completed from the staged rows by the next write or by
+    :meth:`recover`; until then readers may miss rows of the partitions concerned.
     """
 
     def __init__(self, spark, root, specs=TABLES):
@@ -60,58 +67,116 @@ class TableStore:
         if spec.partition_by:
             writer = writer.partitionBy(*spec.partition_by)
         writer.parquet(self.path(name))
-        return counter.get["rows"]
+        try:
+            return counter.get["rows"]
+        except Py4JJavaError:
+            # a plan known to have no rows is reduced to nothing, and its counter with it
+            return 0
 
     def admit(self, df, name):
         """(accepted, quarantined) rows under the table's declared rules."""
         spec = self.specs[name]
         return split(with_reasons(conform(df, spec), spec))
 
+    def refused(self, name):
+        """Rows that writes have refused, with their reasons; None where there are none. A row that
+        a repeated write refused again is listed once."""
+        fields = [T.StructField(f.name, f.dataType) for f in self.specs[name].schema]
+        fields.append(T.StructField(REASONS, T.ArrayType(T.StringType())))
+        rows = stored(self.spark, f"{self.root}/_refused/{name}", T.StructType(fields))
+        return None if rows is None else rows.dropDuplicates(
+            [f.name for f in fields if f.name not in WRITE_TIMES]
+        )
+
+    def _accepted(self, df, name, key=(), taken=None):
+        """The rows that may be written, in table form; the others go to :meth:`refused`."""
+        spec = self.specs[name]
+        rows = conform(df, spec)
+        if not spec.checks and not key:
+            return rows
+        accepted, refused = split(check_reasons(rows, spec, key, taken))
+        if not refused.isEmpty():
+            refused.write.mode("append").parquet(f"{self.root}/_refused/{name}")
+        return accepted
+
+    def _staging(self, name):
+        return f"{self.root}/_staging/{name}"
+
+    def _replace(self, rows, name):
+        """Stage the rows, then put them in place of the partitions they belong to."""
+        rows.write.mode("overwrite").parquet(self._staging(name))
+        return self._publish(name)
+
+    def _publish(self, name):
+        staging = self._staging(name)
+        staged = self.spark.read.schema(self.specs[name].schema).parquet(staging)
+        written = self._write(staged, name, "overwrite")
+        system, folder = _folder(self.spark, staging)
+        system.delete(folder, True)
+        return written
+
+    def recover(self, name):
+        """Complete a publication that was cut off; forget rows that were not staged completely."""
+        system, folder = _folder(self.spark, self._staging(name))
+        if not system.exists(folder):
+            return
+        if system.exists(_folder(self.spark, f"{self._staging(name)}/_SUCCESS")[1]):
+            self._publish(name)
+        else:
+            system.delete(folder, True)
+
     def overwrite(self, df, name):
         """Replace the partitions present in ``df`` (the whole table if it has none)."""
-        return self._write(conform(df, self.specs[name]), name, "overwrite")
+        self.recover(name)
+        return self._write(self._accepted(df, name, self.specs[name].primary_key), name, "overwrite")
 
     def append(self, df, name):
-        return self._write(conform(df, self.specs[name]), name, "append")
+        """Add rows; one whose primary key the table has already is refused."""
+        self.recover(name)
+        key = self.specs[name].primary_key
+        taken = self.read(name) if key and self.exists(name) else None
+        return self._write(self._accepted(df, name, key, taken), name, "append")
 
     def upsert(self, df, name, order_by=(), distinct=False):
         """Update rows with equal merge keys, insert the others.
 
-        Of several rows with a key the greatest by ``order_by`` counts; ``distinct`` says that
-        ``df`` has one row per key already.
+        Of several rows with a key the greatest by ``order_by`` (or the table's own order) counts, be
+        it stored or new: the same rows in other batches leave the same table. Without an order the
+        batch replaces stored rows. ``distinct`` says that ``df`` has one row per key already.
         Only partitions that receive rows or lose a matched row are rewritten. Running the same
         batch twice leaves the table as after the first run.
         """
+        self.recover(name)
         spec = self.specs[name]
-        source = conform(df, spec)
+        keys = list(spec.merge_keys)
+        source = self._accepted(df, name)
+        order = tuple(order_by) or spec.order_by
+        if order:
+            # rows that are equal in it are told apart by what they hold, not by when they came
+            order = (*order, *[c for c in source.columns if c not in (*order, *keys, *WRITE_TIMES)])
         if not distinct:
-            source = latest_per_key(source, spec.merge_keys, tuple(order_by) or spec.merge_keys)
+            source = latest_per_key(source, keys, order or keys)
         if not self.exists(name):
             return self._write(source, name, "overwrite")
-        target = self.read(name)
+        # the table changes below: what depends on it is settled first, also for lost executors
+        source, target = materialized(source), self.read(name)
+        if order:
+            held = target.join(source.select(*keys), keys, "left_semi").select(*source.columns)
+            source = materialized(latest_per_key(held.unionByName(source), keys, order))
         if not spec.partition_by:
-            merged = materialized(replace_rows(target, source, spec.merge_keys))
-            return self._write(merged, name, "overwrite")
+            return self._replace(replace_rows(target, source, keys), name)
 
         part = spec.partition_by[0]
-        source = source.persist()
-        try:
-            keys = list(spec.merge_keys)
-            left = target.join(source.select(*keys), keys, "left_semi").select(part)
-            # at most one value per calendar day or month
-            touched = [
-                r[0] for r in left.union(source.select(part)).distinct().collect()
-            ]
-            merged = replace_rows(target.where(_among(part, touched)), source, keys)
-            rows = self._write(merged, name, "overwrite")
-            # a partition whose rows all moved elsewhere is not in the written set
-            filled = {r[0] for r in source.select(part).distinct().collect()}
-            lost = [v for v in touched if v not in filled]
-            if lost:
-                self._drop_stale(name, part, lost, source, keys)
-            return rows
-        finally:
-            source.unpersist()
+        left = target.join(source.select(*keys), keys, "left_semi").select(part)
+        # at most one value per calendar day or month
+        touched = [r[0] for r in left.union(source.select(part)).distinct().collect()]
+        rows = self._replace(replace_rows(target.where(_among(part, touched)), source, keys), name)
+        # a partition whose rows all moved elsewhere is not in the written set
+        filled = {r[0] for r in source.select(part).distinct().collect()}
+        lost = [v for v in touched if v not in filled]
+        if lost:
+            self._drop_stale(name, part, lost, source, keys)
+        return rows
 
     def _drop_stale(self, name, part, values, source, keys):
         """Remove partitions that still hold only rows the batch has moved away."""

@@ -27,7 +27,12 @@ def _quarantine(rejected, path, batch_id):
 
 
 def ingest_messages(lines, store, quarantine, checkpoint, interval=None):
-    """Message lines -> validated trips, upserted into the trip table by trip number."""
+    """Message lines -> validated trips, upserted into the trip table by trip number.
+
+    A table that keeps message times (``order_by``) holds the newest message of a trip, however
+    the messages are spread over batches. Without them the last batch counts.
+    """
+    ordered = bool(store.specs[TRIP_FACTS.name].order_by)
 
     def load(batch, batch_id):
         checked = trip_intake.with_reasons(trip_intake.typed(messages.parse(batch)))
@@ -35,9 +40,12 @@ def ingest_messages(lines, store, quarantine, checkpoint, interval=None):
         try:
             accepted, rejected = split(checked)
             _quarantine(rejected.select("raw", REASONS), quarantine, batch_id)
-            latest = latest_per_key(accepted, ["tripId"], ["timestamp", "messageId"])
-            rows = trip_intake.trip_rows(latest, F.current_timestamp())
-            store.upsert(rows, TRIP_FACTS.name, distinct=True)
+            if not ordered:
+                accepted = latest_per_key(accepted, ["tripId"], ["timestamp", "messageId"])
+            rows = trip_intake.trip_rows(
+                accepted, F.current_timestamp(), F.col("timestamp").alias("MessageTime")
+            )
+            store.upsert(rows, TRIP_FACTS.name, distinct=not ordered)
         finally:
             checked.unpersist()
 
@@ -53,7 +61,7 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
     """One batch of files: read, report per file, upsert the valid files' rows.
 
     Rows the table's rules refuse (no litres, no amount) go to quarantine, as does every row of
-    a file with findings.
+    a file with findings; a file without rows leaves its finding there.
     """
     raw = invoice_files.read_files(spark, files)
     if raw is None:
@@ -71,7 +79,13 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
         bad_files = marked.where("errors IS NOT NULL").select(
             F.to_json(F.struct(*raw.columns)).alias("raw"), F.col("errors").alias(REASONS)
         )
-        _quarantine(bad_rows.unionByName(bad_files), quarantine, batch_id)
+        no_rows = invoice_files.without_rows(files, raw).select(
+            F.to_json(F.struct("SourceFile")).alias("raw"),
+            F.array(F.lit(invoice_intake.EMPTY)).alias(REASONS),
+        )
+        _quarantine(
+            bad_rows.unionByName(bad_files).unionByName(no_rows), quarantine, batch_id
+        )
         store.upsert(accepted, FUEL_INVOICES.name)
     finally:
         marked.unpersist()

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from carbonhaul.operators import invoice_intake, trip_intake
 from carbonhaul.operators.constraints import split
+from carbonhaul.schemas import FUEL_INVOICES_FROM_FILES, TRIP_FACTS_FROM_MESSAGES
 from carbonhaul.sources import invoice_files, messages
+from carbonhaul.sources.tables import TableStore
+from carbonhaul.streaming import jobs
 
 GOOD = (
     '{"messageId":"m","vin":"V","tripId":"t","startTime":"2025-01-01T06:00:00Z",'
@@ -126,3 +129,64 @@ def test_missing_date_column_takes_today(spark):
     df = spark.createDataFrame([("V",)], "VIN string")
     row = invoice_intake.with_month(df, today="2025-05-17").first()
     assert (row["InvoiceDate"], row["InvoiceMonth"]) == (dt.date(2025, 5, 17), dt.date(2025, 5, 1))
+
+
+DROPS = {
+    "full.csv": "VIN,InvoiceDate,Litres,EUR_Amount,InvoiceNumber,SupplierName,FuelType\n"
+                "V1,2025-02-03,10,15,i1,Acme,HVO\nV2,2025-02-04,11,16,i2,,\n",
+    "no_supplier.csv": "VIN,InvoiceDate,Litres,EUR_Amount,InvoiceNumber\nV3,2025-02-05,12,17,i3\n",
+    "no date.csv": "VIN,Litres,EUR_Amount,InvoiceNumber\nV4,13,18,i4\n",
+    "no_vin.csv": "InvoiceDate,Litres,EUR_Amount,InvoiceNumber\n2025-02-06,14,19,i5\n",
+    "header_only.csv": "VIN,InvoiceDate,Litres,EUR_Amount\n",
+    "again.csv": "VIN,InvoiceDate,Litres,EUR_Amount,InvoiceNumber,SupplierName\n"
+                 "V1,2025-02-03,20,25,i1,Later\n",
+}
+
+
+@pytest.mark.parametrize("max_files", [1, 2, 100])
+def test_files_give_one_result_in_any_batches(spark, tmp_path, max_files):
+    for i, (name, text) in enumerate(reversed(DROPS.items())):
+        write(tmp_path / "in", name, text)
+        # the later file comes first where files are read one by one
+        os.utime(tmp_path / "in" / name, (1_700_000_000 - 60 * i, 1_700_000_000 - 60 * i))
+    os.utime(tmp_path / "in" / "again.csv", (1_700_009_000, 1_700_009_000))
+    spec = FUEL_INVOICES_FROM_FILES
+    store = TableStore(spark, str(tmp_path / "store"), {spec.name: spec})
+    rejects = str(tmp_path / "rejects")
+    jobs.finish(jobs.ingest_invoice_files(
+        spark, str(tmp_path / "in"), store, rejects, str(tmp_path / "progress"), max_files
+    ))
+    rows = store.read(spec.name).orderBy("VIN").collect()
+    today = rows[3]["InvoiceDate"]
+    assert abs((today - dt.datetime.now(dt.timezone.utc).date()).days) <= 1
+    assert [(r["VIN"], r["InvoiceDate"], r["Litres"], r["SupplierName"], r["FuelType"])
+            for r in rows] == [
+        ("V1", dt.date(2025, 2, 3), 20.0, "Later", "DIESEL"),
+        ("V2", dt.date(2025, 2, 4), 11.0, None, None),
+        ("V3", dt.date(2025, 2, 5), 12.0, "UNKNOWN", "DIESEL"),
+        ("V4", today, 13.0, "UNKNOWN", "DIESEL"),
+    ]
+    refused = spark.read.json(rejects).select("raw", "reject_reasons").collect()
+    assert {(r["reject_reasons"], "header_only" in r["raw"]) for r in refused} == {
+        ("Missing required columns: ['VIN']", False), ("Dataset is empty", True),
+    }
+
+
+@pytest.mark.parametrize("batches", [[[0, 1, 2, 3]], [[3], [2], [1], [0]], [[1, 3], [0, 2]]])
+def test_messages_give_one_result_in_any_batches(spark, tmp_path, batches):
+    def message(trip, minute, fuel, identity):
+        return GOOD.replace('"t"', f'"{trip}"').replace('"m"', f'"{identity}"').replace(
+            "30.5", str(fuel)).replace('"maxSpeed"', f'"timestamp":"2025-01-01T09:{minute}:00Z","maxSpeed"'
+        ) % "100"
+
+    lines = [message("a", "01", 1, "m1"), message("a", "03", 3, "m2"),
+             message("a", "02", 2, "m3"), message("a", "03", 4, "m2")]
+    spec = TRIP_FACTS_FROM_MESSAGES
+    store = TableStore(spark, str(tmp_path / "store"), {spec.name: spec})
+    for i, batch in enumerate(batches):
+        write(tmp_path / "in", f"{i}.txt", "".join(lines[n] + "\n" for n in batch))
+        jobs.finish(jobs.ingest_messages(
+            messages.json_lines_stream(spark, str(tmp_path / "in")), store,
+            str(tmp_path / "rejects"), str(tmp_path / "progress"),
+        ))
+    assert [(r["TripID"], r["Fuel_l"]) for r in store.read(spec.name).collect()] == [("a", 4.0)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from carbonhaul.operators.merge import latest_per_key, merge
 from carbonhaul.session import scratch_path
+from carbonhaul.sources import tables
 from carbonhaul.sources.tables import TableStore, trips_between
 
 SCHEMA = "k string, j int, ts int, v int"
@@ -187,3 +188,65 @@ def test_counts_statistics_and_pruning(spark, explain):
     text = explain(window)
     filters = text[text.index("PartitionFilters"):]
     assert "TripDate" in filters[: filters.index("PushedFilters")]
+
+
+def test_store_refuses_rows_that_break_its_rules(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    good = spark.createDataFrame([trip("a", 1)], TRIP_SCHEMA)
+    bad = spark.createDataFrame([trip("a", 1, -5.0), trip("b", 2, -5.0)], TRIP_SCHEMA)
+    assert store.refused("TripFacts") is None
+    store.overwrite(good, "TripFacts")
+    for write in (store.append, store.upsert, store.upsert):
+        write(bad, "TripFacts")
+    assert content(store) == [("a", 1, 10.0)]
+    refused = store.refused("TripFacts").collect()
+    assert sorted((r["TripID"], r["reject_reasons"]) for r in refused) == [
+        ("a", ["chk_positive_fuel"]), ("b", ["chk_positive_fuel"])
+    ]
+
+
+def test_store_refuses_a_second_row_of_a_primary_key(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    schema = "PriceMonth date, EUR_per_t double"
+    months = [dt.date(2025, m, 1) for m in (1, 2, 3)]
+    rows = [(months[0], 80.0), (months[1], 81.0), (months[1], 82.0)]
+    assert store.overwrite(spark.createDataFrame(rows, schema), "ETSPriceCurve") == 1
+    more = [(months[0], 90.0), (months[2], 91.0), (months[2], 92.0), (months[1], 83.0)]
+    assert store.append(spark.createDataFrame(more, schema), "ETSPriceCurve") == 1
+    kept = store.read("ETSPriceCurve").collect()
+    assert {(r["PriceMonth"], r["EUR_per_t"]) for r in kept} == {(months[0], 80.0), (months[1], 83.0)}
+    refused = store.refused("ETSPriceCurve").collect()
+    assert len(refused) == 5 and {r["reject_reasons"][0] for r in refused} == {"primary_key"}
+
+
+def test_cut_off_publication_is_completed(spark, monkeypatch):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    store.upsert(spark.createDataFrame([trip("a", 1), trip("b", 1)], TRIP_SCHEMA), "TripFacts")
+    batch = spark.createDataFrame([trip("b", 1, 11.0), trip("c", 2)], TRIP_SCHEMA)
+
+    def cut(self, name):
+        # the partitions are deleted, the new files not yet in place
+        system, folder = tables._folder(spark, f"{self.path(name)}/TripDate=2025-01-01")
+        system.delete(folder, True)
+        raise RuntimeError("cut off")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(TableStore, "_publish", cut)
+        try:
+            store.upsert(batch, "TripFacts")
+        except RuntimeError:
+            pass
+    assert content(store) == []
+    for _ in range(2):
+        store.upsert(batch, "TripFacts")
+        assert content(store) == [("a", 1, 10.0), ("b", 1, 11.0), ("c", 2, 10.0)]
+
+
+def test_incomplete_staging_is_forgotten(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    store.upsert(spark.createDataFrame([trip("a", 1)], TRIP_SCHEMA), "TripFacts")
+    spark.createDataFrame([trip("x", 1)], TRIP_SCHEMA).write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(store._staging("TripFacts"))
+    store.upsert(spark.createDataFrame([trip("b", 1)], TRIP_SCHEMA), "TripFacts")
+    assert content(store) == [("a", 1, 10.0), ("b", 1, 10.0)]
