@@ -20,15 +20,13 @@ def components(edges):
         ).distinct(),
         "component-edges",
     )
-    state = _state(current)
-    while state[0]:
+    while not _stars(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
             both.where("v > u")
             .join(least, "u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
         )
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         # the node itself, and each of its smaller neighbours, to the smallest of them
@@ -39,16 +37,16 @@ def components(edges):
             .distinct(),
             "component-edges",
         )
-        before, state = state, _state(current)
-        if before == state:
-            break
     leaves = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return staged(leaves.unionByName(roots), "components")
 
 
-def _state(edges):
-    h = F.xxhash64("u", "v")
-    return tuple(
-        edges.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+def _stars(edges):
+    """Whether every node has one smaller neighbour, or larger ones only."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
+    other = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return other.where("up > 1 OR up > 0 AND down > 0").agg(F.count("*")).first()[0] == 0

@@ -384,9 +384,11 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         rows = known.join(lowest, "bucket").select(
             "bucket", "class", "part", F.col("n_shingles").alias("size"), sketch.alias("bits")
         )
-        more = links(comparable(within_buckets(rows, percent, nearest_only)), docs, ngram, percent)
-        found = staged(found.unionByName(more), "join-links")
-        parts = staged(parts_of(found), "join-parts")
+        held = comparable(within_buckets(rows, percent, nearest_only))
+        more = staged(links(held, docs, ngram, percent), "join-more")
+        if not more.isEmpty():
+            found = staged(found.unionByName(more), "join-links")
+            parts = staged(parts_of(found), "join-parts")
 
     has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return facts.join(parts, ["class", "class2"], "left").select(
