@@ -63,8 +63,11 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
     Rows the table's rules refuse (no litres, no amount) go to quarantine, as does every row of
     a file with findings; a file without rows leaves its finding there.
     """
+    # the listing, used for the headers and for files without rows: the source is read once
+    files = files.persist()
     raw = invoice_files.read_files(spark, files)
     if raw is None:
+        files.unpersist()
         return
     report = invoice_intake.validation_report(raw, by=["SourceFile"])
     findings = report.where(~F.col("is_valid")).select("SourceFile", "errors")
@@ -89,6 +92,7 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
         store.upsert(accepted, FUEL_INVOICES.name)
     finally:
         marked.unpersist()
+        files.unpersist()
 
 
 def ingest_invoice_files(spark, folder, store, quarantine, checkpoint, max_files=1000,
