@@ -157,37 +157,40 @@ def publish(frame, checkpoint, servers, topic, key=None, interval=None):
     )
 
 
-def serve(frame, path, keys, checkpoint, interval=None):
-    """Update-mode output: the newest row per key, partitioned by the day of the window.
+def _rewrite_days(rows, path):
+    """Write the rows in place of the days they belong to."""
+    (
+        rows.hint("rebalance", "window_date")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("window_date")
+        .parquet(path)
+    )
 
-    A batch changes few days; only their partitions are rewritten. ``keys`` include
-    ``window_start``, so a row never changes its partition.
-    """
 
-    def write(batch, batch_id):
-        spark = batch.sparkSession
-        day = F.to_date("window_start")
-        fresh = batch.withColumn("window_date", day).persist()
-        try:
-            # one value per calendar day
-            days = [r[0] for r in fresh.select("window_date").distinct().collect()]
-            if not days:
-                return
-            merged = fresh
-            old = stored(spark, path, fresh.schema)
-            if old is not None:
-                # update mode emits one row per key and batch
-                merged = replace_rows(old.where(F.col("window_date").isin(days)), fresh, keys)
-            (
-                merged.hint("rebalance", "window_date")
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("window_date")
-                .parquet(path)
-            )
-        finally:
-            fresh.unpersist()
+def _merge_days(batch, path, keys):
+    """Put the batch's rows in place of stored ones with their keys; returns the stored rows of
+    the days concerned, or None for an empty batch."""
+    spark = batch.sparkSession
+    fresh = batch.withColumn("window_date", F.to_date("window_start")).persist()
+    try:
+        # one value per calendar day
+        days = [r[0] for r in fresh.select("window_date").distinct().collect()]
+        if not days:
+            return None
+        merged = fresh
+        concerned = F.col("window_date").isin(days)
+        old = stored(spark, path, fresh.schema)
+        if old is not None:
+            # update mode emits one row per key and batch
+            merged = replace_rows(old.where(concerned), fresh, keys)
+        _rewrite_days(merged, path)
+        return stored(spark, path, fresh.schema).where(concerned)
+    finally:
+        fresh.unpersist()
 
+
+def _start_updates(frame, write, checkpoint, interval):
     return (
         frame.writeStream.foreachBatch(write)
         .outputMode("update")
@@ -197,6 +200,36 @@ def serve(frame, path, keys, checkpoint, interval=None):
     )
 
 
+def serve(frame, path, keys, checkpoint, interval=None):
+    """Update-mode output: the newest row per key, partitioned by the day of the window.
+
+    A batch changes few days; only their partitions are rewritten. ``keys`` include
+    ``window_start``, so a row never changes its partition.
+    """
+
+    def write(batch, batch_id):
+        _merge_days(batch, path, keys)
+
+    return _start_updates(frame, write, checkpoint, interval)
+
+
+def serve_totals(sums, totals, path, keys, start, checkpoint, interval=None):
+    """Update-mode sums per vehicle, and at ``path`` the totals of every window, open ones too.
+
+    The sums are served below ``_vehicles``, which readers of ``path`` skip. A batch derives all
+    totals of the days it touches anew from them, so a repeated batch changes nothing. ``start``
+    names the totals' column with the start of the window, which lies within one day.
+    """
+
+    def write(batch, batch_id):
+        begun = batch.withColumn("window_start", F.col("window.start"))
+        rows = _merge_days(begun, f"{path}/_vehicles", ["window_start", *keys])
+        if rows is not None:
+            _rewrite_days(totals(rows).withColumn("window_date", F.to_date(start)), path)
+
+    return _start_updates(sums, write, checkpoint, interval)
+
+
 def finish(query, timeout=None):
     """Wait for an ``availableNow`` run; raises what the run raised."""
     query.awaitTermination(timeout)

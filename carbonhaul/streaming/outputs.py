@@ -11,14 +11,16 @@ DEFAULT_LATENESS = "24 hours"
 class Output:
     """``build`` takes the cleaned trips (and the lateness, for windowed outputs).
 
-    Outputs with ``keys`` are served in update mode, the newest row per key. The others are
-    appended: plain rows at once, windows when they can no longer change. Windows that count
-    vehicles chain two aggregations, which only append mode allows.
+    Outputs with ``keys`` are served in update mode, the newest row per key; the others are
+    appended. Where windows count vehicles, ``build`` gives the sums per vehicle, ``totals`` adds
+    them up and ``start`` is the column with the start of the window.
     """
 
     build: object
     windowed: bool = False
     keys: tuple = ()
+    totals: object = None
+    start: str = "window_start"
 
 
 OUTPUTS = {
@@ -32,9 +34,16 @@ OUTPUTS = {
     "scenario_analysis_feed": Output(
         windows.scenario_analysis_feed, True, ("window_start", "vin", "analysis_month")
     ),
-    "fleet_hourly_stats": Output(windows.fleet_hourly_stats, True),
-    "ets_cost_daily": Output(windows.ets_cost_daily, True),
-    "driver_daily_performance": Output(windows.driver_daily_performance, True),
+    "fleet_hourly_stats": Output(
+        windows.fleet_hourly_sums, True, ("vin",), windows.fleet_hourly_totals, "hour_timestamp"
+    ),
+    "ets_cost_daily": Output(
+        windows.ets_cost_sums, True, ("date_str", "vin"), windows.ets_cost_totals
+    ),
+    "driver_daily_performance": Output(
+        windows.driver_daily_sums, True, ("driverId", "date_str", "vin"),
+        windows.driver_daily_totals,
+    ),
 }
 
 
@@ -43,6 +52,10 @@ def start(name, messages, path, checkpoint, lateness=DEFAULT_LATENESS, interval=
     output = OUTPUTS[name]
     trips = telemetry.clean(messages)
     frame = output.build(trips, lateness) if output.windowed else output.build(trips)
+    if output.totals:
+        return jobs.serve_totals(
+            frame, output.totals, path, list(output.keys), output.start, checkpoint, interval
+        )
     if output.keys:
         return jobs.serve(frame, path, list(output.keys), checkpoint, interval)
     return jobs.archive(frame, path, checkpoint, interval)

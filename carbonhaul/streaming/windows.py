@@ -2,8 +2,9 @@
 
 Windows are on the processing-event time, dates on the trip's start, and both are group keys: a
 trip posted late gets its own row. Statistics that count distinct vehicles aggregate per vehicle
-first and then add up, so no group ever gathers a set of vehicles; on a stream this is a chain of
-two aggregations, which Spark runs in append mode.
+(``_sums``) and then add up (``_totals``), so no group ever gathers a set of vehicles. A stream
+either serves the sums in update mode and adds up what is stored, or chains the two aggregations,
+which Spark runs in append mode only.
 """
 
 from pyspark.sql import functions as F
@@ -45,12 +46,15 @@ def _sums(trips, size, keys):
     )
 
 
-def _distinct(trips, size, keys, names):
-    """Sums per (window, keys, vehicle), then per (window, keys) with the vehicle count."""
-    per_vehicle = _sums(trips, size, [*keys, F.col("vin")])
-    again = F.window(F.window_time("window"), size).alias("window")
+def _again(size):
+    """The window of a first aggregation as a key of the second, for chains on streams."""
+    return F.window(F.window_time("window"), size).alias("window")
+
+
+def _fold(per_vehicle, window, names):
+    """Sums per (window, names, vehicle) added up per (window, names), with the vehicle count."""
     fold = {**{p: F.sum for p in PARTS}, "last_update": F.max}
-    return per_vehicle.groupBy(again, *names).agg(
+    return per_vehicle.groupBy(window, *names).agg(
         F.count(F.lit(1)).alias("vehicles"),
         *[f(p).alias(p) for p, f in fold.items()],
     )
@@ -90,9 +94,12 @@ def vehicle_daily_stats(trips, lateness=None):
     )
 
 
-def fleet_hourly_stats(trips, lateness=None):
-    rows = _distinct(with_lateness(trips, lateness), "1 hour", [], [])
-    return rows.select(
+def fleet_hourly_sums(trips, lateness=None):
+    return _sums(with_lateness(trips, lateness), "1 hour", [F.col("vin")])
+
+
+def fleet_hourly_totals(per_vehicle, window="window"):
+    return _fold(per_vehicle, window, []).select(
         F.lit("FLEET_TOTAL").alias("fleet_id"),
         F.date_format("window.start", "yyyy-MM-dd HH:00:00").alias("hour_timestamp"),
         F.col("vehicles").alias("active_vehicles"),
@@ -108,12 +115,19 @@ def fleet_hourly_stats(trips, lateness=None):
     )
 
 
-def ets_cost_daily(trips, lateness=None):
-    rows = _distinct(
-        with_lateness(trips, lateness), "1 day", [start_date(DAY).alias("date_str")],
-        ["date_str"],
+def fleet_hourly_stats(trips, lateness=None):
+    return fleet_hourly_totals(fleet_hourly_sums(trips, lateness), _again("1 hour"))
+
+
+def ets_cost_sums(trips, lateness=None):
+    return _sums(
+        with_lateness(trips, lateness), "1 day",
+        [start_date(DAY).alias("date_str"), F.col("vin")],
     )
-    return rows.select(
+
+
+def ets_cost_totals(per_vehicle, window="window"):
+    return _fold(per_vehicle, window, ["date_str"]).select(
         F.col("window.start").alias("window_start"),
         "date_str",
         F.substring("date_str", 1, 7).alias("month_str"),
@@ -126,12 +140,19 @@ def ets_cost_daily(trips, lateness=None):
     )
 
 
-def driver_daily_performance(trips, lateness=None):
-    rows = _distinct(
+def ets_cost_daily(trips, lateness=None):
+    return ets_cost_totals(ets_cost_sums(trips, lateness), _again("1 day"))
+
+
+def driver_daily_sums(trips, lateness=None):
+    return _sums(
         with_lateness(trips.where("driverId IS NOT NULL"), lateness), "1 day",
-        [F.col("driverId"), start_date(DAY).alias("date_str")], ["driverId", "date_str"],
+        [F.col("driverId"), start_date(DAY).alias("date_str"), F.col("vin")],
     )
-    return rows.select(
+
+
+def driver_daily_totals(per_vehicle, window="window"):
+    return _fold(per_vehicle, window, ["driverId", "date_str"]).select(
         F.col("window.start").alias("window_start"),
         "driverId",
         "date_str",
@@ -148,6 +169,10 @@ def driver_daily_performance(trips, lateness=None):
     )
 
 
+def driver_daily_performance(trips, lateness=None):
+    return driver_daily_totals(driver_daily_sums(trips, lateness), _again("1 day"))
+
+
 def scenario_analysis_feed(trips, lateness=None):
     rows = _sums(
         with_lateness(trips, lateness), "30 days",

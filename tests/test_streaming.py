@@ -68,6 +68,58 @@ def test_append_mode_emits_closed_windows(spark, sf):
     assert set(got) <= set(rows(rounded(expected)))
 
 
+def test_windows_that_count_vehicles_are_served_while_open(spark, sf):
+    _, stream = several_files(spark, sf)
+    trips = telemetry.clean(src.telematics(spark, sf))
+    for name in ("fleet_hourly_stats", "ets_cost_daily", "driver_daily_performance"):
+        path = scratch_path(spark, name)
+        # with a lateness longer than the data no window ever closes
+        job = jobs.finish(
+            outputs.start(
+                name, src.parsed_messages(stream), path, scratch_path(spark, "progress"), "40 days"
+            )
+        )
+        assert sum(1 for p in job.recentProgress if p["numInputRows"]) > 1
+        expected = getattr(windows, name)(trips)
+        got = spark.read.parquet(path).drop("window_date")
+        assert rows(rounded(got)) == rows(rounded(expected)), name
+
+
+def test_totals_follow_later_messages_and_survive_a_repeated_batch(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), scratch_path(spark, "hourly")
+
+    def trips(*given):
+        base = telemetry.clean(src.telematics(spark, "/root/testdata/sf0.001")).limit(1)
+        moments = spark.createDataFrame(
+            [(v, dt.datetime(2025, 1, 1, hour, minute)) for v, hour, minute in given],
+            "vin string, processedTime timestamp",
+        )
+        return base.drop("vin", "processedTime").crossJoin(moments)
+
+    def run(progress):
+        schema = spark.read.parquet(folder).schema
+        jobs.finish(
+            jobs.serve_totals(
+                windows.fleet_hourly_sums(
+                    spark.readStream.schema(schema).parquet(folder), "24 hours"
+                ),
+                windows.fleet_hourly_totals, path, ["vin"], "hour_timestamp", progress,
+            )
+        )
+        return sorted(
+            (r["hour_timestamp"][11:13], r["active_vehicles"], r["total_trips"])
+            for r in spark.read.parquet(path).collect()
+        )
+
+    progress = scratch_path(spark, "progress")
+    trips(("a", 9, 0), ("a", 9, 5), ("b", 10, 0)).coalesce(1).write.mode("append").parquet(folder)
+    assert run(progress) == [("09", 1, 2), ("10", 1, 1)]
+    trips(("b", 9, 59), ("a", 9, 59)).coalesce(1).write.mode("append").parquet(folder)
+    assert run(progress) == [("09", 2, 4), ("10", 1, 1)]
+    # all again, as after a failure before the progress was recorded
+    assert run(scratch_path(spark, "progress")) == [("09", 2, 4), ("10", 1, 1)]
+
+
 def write_lines(folder, name, lines):
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
