@@ -11,8 +11,8 @@ other. Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z
 
 Defined cases: a null or empty text has no words, labels or detections; repeated rows are scanned
 each for itself; detections of equal priority, length and place are ordered by label; an empty
-table gives no rows; other columns are ignored. Texts are read whole; in their gaps rules allow
-at most 40 characters of white space and punctuation.
+table gives no rows; other columns are ignored. Texts are read whole; the gaps of rules are runs of
+any length of what is neither letter nor digit. A tag counts every identifier of its expression.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ LICENCES = (
     ("mpl-1.1", r"mpl-1\.1", "mozilla", r"mozilla public licen[sc]e,? (?:version |v)?1\.1", r"mozilla\.org/mpl/1\.1"),
     ("mpl-2.0", r"mpl-2\.0", "mozilla", r"mozilla public licen[sc]e,? (?:version |v)?2(?:\.0)?", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("epl-1.0", r"epl-1\.0", "eclipse", r"eclipse public licen[sc]e,? (?:version |v)?1(?:\.0)?", r"eclipse\.org/legal/epl-v10"),
-    ("epl-2.0", r"epl-2\.0", "eclipse", r"eclipse public licen[sc]e,? (?:version |- ?v ?|v)?2(?:\.0)?", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("epl-2.0", r"epl-2\.0", "eclipse", r"eclipse public licen[sc]e,? (?:version |v ?)?2(?:\.0)?", r"eclipse\.org/legal/epl-(?:v20|2\.0)"),
     ("cddl", r"cddl-1\.[01]", "distribution", r"common development and distribution licen[sc]e", r"opensource\.org/licen[sc]es/cddl"),
     ("cpl", r"cpl-1\.0", "common public", r"common public licen[sc]e", r"opensource\.org/licen[sc]es/cpl"),
     ("eupl", r"eupl-1\.[12]", "european", r"european union public licen[sc]e", r"eupl\.eu/1\.[12]"),
@@ -109,7 +109,7 @@ SENTENCES = (
     ("mit", "free of charge", r"permission is hereby granted, free of charge, to any person obtaining a copy"),
     ("isc", "with or without fee", r"permission to use, copy, modify,? and/or distribute this software for any purpose with or without fee"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification"),
-    ("bsd-3", "endorse", r"neither the name of .{1,80} nor the names of (?:its|the) contributors may be used to endorse"),
+    ("bsd-3", "endorse", r"neither the name of (?:(?!neither the name).)+? nor the names of (?:its|the) contributors may be used to endorse"),
     ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software must display"),
     ("gpl", "free software", r"this program is free software[:;] you can redistribute it and/or modify"),
     ("lgpl", "free software", r"this library is free software[:;] you can redistribute it and/or modify"),
@@ -119,7 +119,7 @@ SENTENCES = (
     ("zlib", "express or implied", r"this software is provided 'as-is', without any express or implied warranty"),
     ("bsl-1.0", "accompanying", r"distributed under the boost software licen[sc]e"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
-    ("cc0", "waive", r"to the extent possible under law, .{1,80} (?:has|have) waived all copyright"),
+    ("cc0", "waive", r"to the extent possible under law, (?:(?!to the extent).)+? (?:has|have) waived all copyright"),
     ("public-domain", "public domain", r"(?:released (?:in)?to|placed in|dedicated to|is in) the public domain"),
     ("proprietary", "all rights reserved", r"all rights reserved"),
     ("proprietary", "confidential", r"proprietary and confidential"),
@@ -133,7 +133,7 @@ TAG, ADDRESS, SENTENCE, GRANT, TITLE = range(5)
 CONFIDENCE = (1.0, 0.95, 0.9, 0.9, 0.75)
 BASE_CONFIDENCE = 0.6
 
-GAP = r"[\s*#/;>|-]{1,40}"
+GAP = r"(?:[\W_]+)"
 
 
 def _pattern(text):
@@ -146,7 +146,7 @@ def rules():
     made = []
     for label, tag, keyword, title, address in LICENCES:
         made += [
-            (TAG, label, "spdx", _pattern(rf"spdx-licen[sc]e-identifier: {tag}")),
+            (TAG, label, "spdx", _pattern(tag)),
             (ADDRESS, label, re.sub(r"\\", "", address.split("/")[0]), _pattern(address)),
             (GRANT, label, keyword, _pattern(
                 r"(?:licen[sc]ed|distributed|released|available|provided|published)"
@@ -172,13 +172,39 @@ def automaton():
     return found
 
 
+_IDENTIFIER = r"[0-9a-z](?:[.+-]*+[0-9a-z])*+"
+_TAGGED = re.compile(
+    rf"(?<![0-9a-z])spdx-licen[sc]e-identifier:[\W_]*+({_IDENTIFIER}"
+    rf"(?:[\W_]++(?:or|and|with)[\W_]++{_IDENTIFIER})*+)"
+)
+
+
+def tagged(text):
+    """(start, place) of every identifier of the licence expressions behind tags; the first one
+    starts with its tag."""
+    found = []
+    for tag in _TAGGED.finditer(text):
+        start = tag.start()
+        for one in re.compile(_IDENTIFIER).finditer(text, tag.start(1), tag.end(1)):
+            found.append((start if start < tag.start(1) else one.start(), one.start()))
+            start = tag.end()
+    return found
+
+
 def detections(text):
     """(start, end, kind, label) of the detections that stay, by place, in lower-cased text."""
     tried = {i for _, numbers in automaton().iter(text) for i in numbers}
+    tags = tagged(text) if "spdx" in text else []
     found = []
     for i in tried:
         kind, label, _, pattern = rules()[i]
-        found += [(m.start(), m.end(), kind, label) for m in pattern.finditer(text)]
+        if kind != TAG:
+            found += [(m.start(), m.end(), kind, label) for m in pattern.finditer(text)]
+        elif tags:
+            found += [
+                (start, m.end(), kind, label)
+                for start, place in tags if (m := pattern.match(text, place))
+            ]
     return suppressed(found)
 
 

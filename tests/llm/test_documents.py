@@ -190,6 +190,41 @@ def test_licences(docs, spark):
     assert licences.digest(licences.scanned(docs)).count() == docs.count()
 
 
+def labels_of(text):
+    return sorted({d[3] for d in licences.detections(text.lower())})
+
+
+def test_licence_gaps_of_any_length():
+    words = "redistribution and use in source and binary forms, with or without modification"
+    for gap in (" " * 41, "\n" + " " * 500 + "* ", "\n% ", '"\n"', "\n! ", "\u00a0", " ) ("):
+        assert labels_of(words.replace(" ", gap)) == ["bsd"], repr(gap)
+    holder = "The Regents of " + "a very long name " * 20
+    assert labels_of(
+        f"Neither the name of {holder} nor the names of its contributors may be used to endorse"
+    ) == ["bsd-3"]
+    assert labels_of(f"To the extent possible under law, {holder} has waived all copyright") == ["cc0"]
+    for title in ("- v 2.0", "-v2", "v2.0", "version 2.0", "2.0", ", v 2"):
+        assert labels_of(f"Eclipse Public License {title}") == ["epl-2.0"], title
+
+
+def test_licence_tags_hold_whole_expressions():
+    tag = "SPDX-License-Identifier:"
+    for expression, expected in (
+        (" MIT", ["mit"]),
+        ("Apache-2.0", ["apache-2.0"]),
+        (" MIT OR Apache-2.0", ["apache-2.0", "mit"]),
+        (" (MIT OR Apache-2.0)", ["apache-2.0", "mit"]),
+        (" (MIT-0 OR (GPL-2.0-only WITH Classpath-exception-2.0)) AND Zlib",
+         ["gpl-2", "mit-0", "zlib"]),
+        (" MIT\n# Copyright by Apache-2.0 people", ["mit"]),
+        (" unknown", []),
+    ):
+        assert labels_of(f"// {tag}{expression}\n") == expected, expression
+    # time grows with the text, not with its square
+    long = f"{tag} mit{'-' * 200_000} eclipse public license{'-' * 200_000}"
+    assert labels_of(long + "neither the name of x " * 5_000) == ["mit"]
+
+
 def test_licence_base_against_words(docs):
     import re
 
