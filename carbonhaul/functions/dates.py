@@ -27,12 +27,27 @@ def days_crossed(first, last):
 
 def calendar(spark, first, last):
     """One row per day of a fixed calendar: 366 rows per year, whatever the facts hold."""
-    days = spark.range(1).select(
-        F.explode(
-            F.sequence(
-                F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 day")
-            )
-        ).alias("Date")
+    return _days(
+        spark.range(1).select(
+            F.lit(first).cast("date").alias("first"), F.lit(last).cast("date").alias("last")
+        )
+    )
+
+
+def calendar_of(facts, day, first, last):
+    """The calendar from ``first`` to ``last``, widened to the whole years of the facts' days."""
+    ends = facts.agg(F.min(day).alias("low"), F.max(day).alias("high")).select(
+        F.least(F.lit(first).cast("date"), year_start("low")).alias("first"),
+        F.greatest(
+            F.lit(last).cast("date"), F.make_date(F.year("high"), F.lit(12), F.lit(31))
+        ).alias("last"),
+    )
+    return _days(ends)
+
+
+def _days(ends):
+    days = ends.select(
+        F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("Date")
     )
     return days.select(
         "Date",

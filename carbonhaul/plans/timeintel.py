@@ -15,10 +15,11 @@ MONTHS = {"month": 1, "quarter": 3, "year": 12}
 
 
 def dense_daily(facts, calendar, day, value, name="value"):
-    """One row per calendar day with the day's sum; NULL on days without facts."""
+    """One row per calendar day with the day's sum; NULL on days without facts. Facts without a
+    calendar day follow under a blank date, apart from the dated ones in what is summed up."""
     daily = facts.groupBy(F.col(day).alias("_day")).agg(F.sum(value).alias(name))
     return (
-        calendar.join(daily, F.col("Date") == F.col("_day"), "left")
+        calendar.join(daily, F.col("Date") == F.col("_day"), "full")
         .select("Date", name)
     )
 
@@ -33,9 +34,17 @@ def to_date(series, period, value="value", day="Date", name="to_date"):
     return series.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0.0)))
 
 
+def _so_far(day):
+    return (
+        Window.partitionBy(F.col(day).isNull())
+        .orderBy(day)
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+
+
 def running_total(series, value="value", day="Date", name="running_total"):
     """Sum of all days up to each day, across years."""
-    window = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    window = _so_far(day)
     return series.withColumn(name, F.coalesce(F.sum(value).over(window), F.lit(0.0)))
 
 
@@ -62,7 +71,7 @@ def moving_average_months(series, months=3, value="value", day="Date", name="mov
     The difference of two cumulative sums, so each day needs one equi-join partner instead of
     a range of rows.
     """
-    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _so_far(day)
     cumulative = series.select(
         day,
         value,

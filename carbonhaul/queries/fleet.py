@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALENDAR_FIRST, CALENDAR_LAST
 from ..functions import display
-from ..functions.dates import calendar, month_start, quarter_start
+from ..functions.dates import calendar, calendar_of, month_start, quarter_start
 from ..functions.ratios import co2_t
 from ..operators import ordering
 from ..plans import measures as M
@@ -14,8 +14,9 @@ from ..sources import testdata as src
 from .registry import MEAN_PRICE, query
 
 
-def dates(spark):
-    return calendar(spark, CALENDAR_FIRST, CALENDAR_LAST)
+def dates(facts, day):
+    """The date dimension, with the years the facts need."""
+    return calendar_of(facts, day, CALENDAR_FIRST, CALENDAR_LAST)
 
 
 # ---- joins and filter propagation ------------------------------------------------------------
@@ -27,12 +28,16 @@ def dates(spark):
        FROM trips JOIN calendar ON TripDate = "Date" GROUP BY ALL""",
 )
 def join_trips_date(spark, sf):
-    """Trips meet the date dimension after a partial sum per day."""
-    daily = src.trips(spark, sf).groupBy("TripDate").agg(
+    """Trips meet the date dimension after a partial sum per day; those without a date are
+    counted under a blank one."""
+    trips = src.trips(spark, sf)
+    daily = trips.groupBy("TripDate").agg(
         F.count(F.lit(1)).alias("trips"), F.sum("Distance_km").alias("km")
     )
     return (
-        daily.join(F.broadcast(dates(spark)), F.col("TripDate") == F.col("Date"))
+        daily.join(
+            F.broadcast(dates(trips, "TripDate")), F.col("TripDate") == F.col("Date"), "left"
+        )
         .groupBy("Year", "Quarter", "MonthName", "DayOfWeek")
         .agg(F.sum("trips").alias("trips"), F.sum("km").alias("km"))
     )
@@ -44,9 +49,11 @@ def join_trips_date(spark, sf):
        FROM price_curve JOIN calendar ON PriceMonth = "Date" """,
 )
 def join_price_date(spark, sf):
+    """Months inside the fixed calendar only, as the SQL has it."""
+    fixed = F.broadcast(calendar(spark, CALENDAR_FIRST, CALENDAR_LAST))
     return (
         src.price_curve(spark, sf)
-        .join(F.broadcast(dates(spark)), F.col("PriceMonth") == F.col("Date"))
+        .join(fixed, F.col("PriceMonth") == F.col("Date"))
         .select("Year", "Quarter", "MonthName", "PriceMonth", "EUR_per_t", "PriceSource")
     )
 

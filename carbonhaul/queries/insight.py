@@ -17,7 +17,8 @@ from .scenario import yearly_scenarios
 
 
 def daily_litres(spark, sf):
-    return T.dense_daily(src.trips(spark, sf), dates(spark), "TripDate", "Fuel_l", "litres")
+    trips = src.trips(spark, sf)
+    return T.dense_daily(trips, dates(trips, "TripDate"), "TripDate", "Fuel_l", "litres")
 
 
 def monthly_co2(spark, sf, period="month"):
@@ -34,10 +35,11 @@ def monthly_co2(spark, sf, period="month"):
        LEFT JOIN (SELECT TripDate, count(*) AS n FROM trips GROUP BY ALL) t ON TripDate = "Date" """,
 )
 def dim_date(spark, sf):
-    """The date dimension with the trips of each day."""
-    daily = src.trips(spark, sf).groupBy("TripDate").agg(F.count(F.lit(1)).alias("n"))
-    calendar = dates(spark)
-    return calendar.join(daily, F.col("TripDate") == F.col("Date"), "left").select(
+    """The date dimension with the trips of each day; a blank date has the trips without one."""
+    trips = src.trips(spark, sf)
+    daily = trips.groupBy("TripDate").agg(F.count(F.lit(1)).alias("n"))
+    calendar = dates(trips, "TripDate")
+    return calendar.join(daily, F.col("TripDate") == F.col("Date"), "full").select(
         *calendar.columns, F.coalesce("n", F.lit(0)).alias("trips")
     )
 

@@ -1,5 +1,6 @@
 """Filter context, geography and what the plans look like."""
 
+import datetime as dt
 import math
 
 import pytest
@@ -105,3 +106,36 @@ def test_no_cross_joins_or_python_in_plans(spark, sf, explain, name):
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython",
                      "MapInPandas", "FlatMapGroups"):
         assert operator not in text
+
+
+def test_trips_of_any_year_or_none(spark, sf, tmp_path):
+    folder = str(tmp_path)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    day = lines.schema["l_shipdate"].dataType
+    one = lines.where("l_shipdate IS NOT NULL").limit(1)
+    moved = [one.withColumn("l_shipdate", F.lit(d).cast(day)) for d in
+             ("1994-06-01", "2003-06-01", None)]
+    for extra in moved:
+        lines = lines.unionByName(extra)
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+
+    def run(name):
+        return CATALOG[name].run(spark, folder).collect()
+
+    trips = lines.count()
+    per_year = {}
+    for r in run("join_trips_date"):
+        per_year[r["Year"]] = per_year.get(r["Year"], 0) + r["trips"]
+    assert sum(per_year.values()) == trips
+    assert (per_year[2023], per_year[2032], per_year[None]) == (1, 1, 1)
+    assert sum(r["trips"] for r in run("dim_date")) == trips
+    litres = src.trips(spark, folder).groupBy(F.col("TripDate").isNull().alias("blank")).agg(
+        F.sum("Fuel_l").alias("litres"))
+    litres = {r["blank"]: r["litres"] for r in litres.collect()}
+    running = {r["Date"]: r["running_co2_t"] for r in run("running_co2")}
+    assert running[max(d for d in running if d)] == pytest.approx(litres[False] * 2.68 / 1000)
+    assert running[None] == pytest.approx(litres[True] * 2.68 / 1000)
+    for name, value in (("ytd_co2", "ytd_co2_t"), ("mtd_ets_cost", "mtd_ets_cost_eur"),
+                        ("running_ets", "running_ets_eur"), ("moving_avg_3m", "moving_avg_co2_t")):
+        rows = {r["Date"]: r[value] for r in run(name)}
+        assert rows[None] and rows[dt.date(2023, 6, 1)] and rows[dt.date(2032, 6, 1)], name
