@@ -10,6 +10,7 @@ from . import (
     mixing,
     packing,
     parity_join,
+    repair,
     sharding,
     topk,
     toxicity,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mix_sources": (mixing.op8_mix_sources, mixing.op8_sql()),
     "op9_exact_top_k": (topk.op9_exact_top_k, topk.OP9_SQL),
     "op10_nearest_neighbours": (block_join.op10_nearest_neighbours, block_join.OP10_SQL),
+    "op11_conversation_repair": (repair.op11_conversation_repair, repair.op11_sql()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
