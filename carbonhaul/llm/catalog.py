@@ -7,6 +7,7 @@ from . import (
     block_join,
     language_model,
     licences,
+    manifest,
     mixing,
     packing,
     parity_join,
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_exact_top_k": (topk.op9_exact_top_k, topk.OP9_SQL),
     "op10_nearest_neighbours": (block_join.op10_nearest_neighbours, block_join.OP10_SQL),
     "op11_conversation_repair": (repair.op11_conversation_repair, repair.op11_sql()),
+    "op12_merkle_manifest": (manifest.op12_merkle_manifest, manifest.op12_sql()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
