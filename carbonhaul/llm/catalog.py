@@ -13,6 +13,7 @@ from . import (
     parity_join,
     repair,
     sharding,
+    token_files,
     topk,
     toxicity,
     url_filter,
@@ -31,6 +32,7 @@ QUERIES = {
     "op10_nearest_neighbours": (block_join.op10_nearest_neighbours, block_join.OP10_SQL),
     "op11_conversation_repair": (repair.op11_conversation_repair, repair.op11_sql()),
     "op12_merkle_manifest": (manifest.op12_merkle_manifest, manifest.op12_sql()),
+    "op13_token_files": (token_files.op13_token_files, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
