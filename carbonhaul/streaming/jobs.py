@@ -12,6 +12,7 @@ from ..operators.merge import latest_per_key, replace_rows
 from ..schemas import FUEL_INVOICES, TRIP_FACTS
 from ..sources import invoice_files, messages
 from ..sources.tables import stored
+from .serving import ServedDays, write_days
 
 
 def trigger_options(interval=None):
@@ -157,37 +158,16 @@ def publish(frame, checkpoint, servers, topic, key=None, interval=None):
     )
 
 
-def _rewrite_days(rows, path):
-    """Write the rows in place of the days they belong to."""
-    (
-        rows.hint("rebalance", "window_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("window_date")
-        .parquet(path)
-    )
+def _days_of(rows):
+    """The calendar days of a batch's windows."""
+    return [r[0] for r in rows.select("window_date").distinct().collect()]
 
 
-def _merge_days(batch, path, keys):
-    """Put the batch's rows in place of stored ones with their keys; returns the stored rows of
-    the days concerned, or None for an empty batch."""
-    spark = batch.sparkSession
-    fresh = batch.withColumn("window_date", F.to_date("window_start")).persist()
-    try:
-        # one value per calendar day
-        days = [r[0] for r in fresh.select("window_date").distinct().collect()]
-        if not days:
-            return None
-        merged = fresh
-        concerned = F.col("window_date").isin(days)
-        old = stored(spark, path, fresh.schema)
-        if old is not None:
-            # update mode emits one row per key and batch
-            merged = replace_rows(old.where(concerned), fresh, keys)
-        _rewrite_days(merged, path)
-        return stored(spark, path, fresh.schema).where(concerned)
-    finally:
-        fresh.unpersist()
+def _merged(served, part, fresh, days, keys):
+    """All rows of the days: the batch's in place of stored ones with their keys."""
+    old = served.read(part, fresh.schema, map(str, days))
+    # update mode emits one row per key and batch
+    return fresh if old is None else replace_rows(old, fresh, keys)
 
 
 def _start_updates(frame, write, checkpoint, interval):
@@ -201,31 +181,53 @@ def _start_updates(frame, write, checkpoint, interval):
 
 
 def serve(frame, path, keys, checkpoint, interval=None):
-    """Update-mode output: the newest row per key, partitioned by the day of the window.
+    """Update-mode output: the newest row per key, in versioned days (:mod:`.serving`).
 
-    A batch changes few days; only their partitions are rewritten. ``keys`` include
-    ``window_start``, so a row never changes its partition.
+    A batch changes few days; these are written anew and swapped in. ``keys`` include
+    ``window_start``, so a row never changes its day.
     """
 
     def write(batch, batch_id):
-        _merge_days(batch, path, keys)
+        fresh = batch.withColumn("window_date", F.to_date("window_start")).persist()
+        try:
+            days = _days_of(fresh)
+            if days:
+                served = ServedDays(batch.sparkSession, path)
+                merged = _merged(served, "rows", fresh, days, keys)
+                served.publish(days, lambda folder: write_days(merged, f"{folder}/rows"))
+        finally:
+            fresh.unpersist()
 
     return _start_updates(frame, write, checkpoint, interval)
 
 
 def serve_totals(sums, totals, path, keys, start, checkpoint, interval=None):
-    """Update-mode sums per vehicle, and at ``path`` the totals of every window, open ones too.
+    """Update-mode sums per vehicle, and the totals of every window, open ones too.
 
-    The sums are served below ``_vehicles``, which readers of ``path`` skip. A batch derives all
-    totals of the days it touches anew from them, so a repeated batch changes nothing. ``start``
-    names the totals' column with the start of the window, which lies within one day.
+    A batch writes the sums of the days it touches (part ``vehicles``), adds them up (part ``rows``) and
+    swaps both in at once. ``start`` names the totals' column with the start of the window, which lies
+    within one day.
     """
 
     def write(batch, batch_id):
         begun = batch.withColumn("window_start", F.col("window.start"))
-        rows = _merge_days(begun, f"{path}/_vehicles", ["window_start", *keys])
-        if rows is not None:
-            _rewrite_days(totals(rows).withColumn("window_date", F.to_date(start)), path)
+        fresh = begun.withColumn("window_date", F.to_date("window_start")).persist()
+        try:
+            days = _days_of(fresh)
+            if days:
+                served = ServedDays(batch.sparkSession, path)
+                merged = _merged(served, "vehicles", fresh, days, ["window_start", *keys])
+
+                def both(folder):
+                    write_days(merged, f"{folder}/vehicles")
+                    written = stored(batch.sparkSession, f"{folder}/vehicles", fresh.schema)
+                    write_days(
+                        totals(written).withColumn("window_date", F.to_date(start)), f"{folder}/rows"
+                    )
+
+                served.publish(days, both)
+        finally:
+            fresh.unpersist()
 
     return _start_updates(sums, write, checkpoint, interval)
 

@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from . import jobs, telemetry, windows
+from . import jobs, serving, telemetry, windows
 
 DEFAULT_LATENESS = "24 hours"
 
@@ -61,6 +61,13 @@ def start(name, messages, path, checkpoint, lateness=DEFAULT_LATENESS, interval=
     return jobs.archive(frame, path, checkpoint, interval)
 
 
+def read(spark, name, path):
+    """What an output has written so far."""
+    if not OUTPUTS[name].keys:
+        return spark.read.parquet(path)
+    return serving.read(spark, path).drop("window_date")
+
+
 def start_all(messages, root, checkpoints, lateness=DEFAULT_LATENESS, interval=None):
     """Start every output; each keeps its own progress, so one can fail or restart alone."""
     return {

@@ -4,13 +4,15 @@ import datetime as dt
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from carbonhaul.session import scratch_path
 from carbonhaul.sources import invoice_files, messages
 from carbonhaul.sources import testdata as src
 from carbonhaul.sources.tables import TableStore
-from carbonhaul.streaming import jobs, outputs, telemetry, windows
+from carbonhaul.streaming import jobs, outputs, serving, telemetry, windows
 
 
 def several_files(spark, sf, n=4):
@@ -47,7 +49,7 @@ def test_update_mode_equals_batch(spark, sf):
     )
     assert sum(1 for p in job.recentProgress if p["numInputRows"]) > 1
     expected = windows.vehicle_daily_stats(telemetry.clean(src.telematics(spark, sf)))
-    got = spark.read.parquet(path).drop("window_date")
+    got = serving.read(spark, path).drop("window_date")
     assert rows(rounded(got)) == rows(rounded(expected))
 
 
@@ -81,8 +83,7 @@ def test_windows_that_count_vehicles_are_served_while_open(spark, sf):
         )
         assert sum(1 for p in job.recentProgress if p["numInputRows"]) > 1
         expected = getattr(windows, name)(trips)
-        got = spark.read.parquet(path).drop("window_date")
-        assert rows(rounded(got)) == rows(rounded(expected)), name
+        assert rows(rounded(outputs.read(spark, name, path))) == rows(rounded(expected)), name
 
 
 def test_totals_follow_later_messages_and_survive_a_repeated_batch(spark, tmp_path):
@@ -108,7 +109,7 @@ def test_totals_follow_later_messages_and_survive_a_repeated_batch(spark, tmp_pa
         )
         return sorted(
             (r["hour_timestamp"][11:13], r["active_vehicles"], r["total_trips"])
-            for r in spark.read.parquet(path).collect()
+            for r in serving.read(spark, path).collect()
         )
 
     progress = scratch_path(spark, "progress")
@@ -120,6 +121,80 @@ def test_totals_follow_later_messages_and_survive_a_repeated_batch(spark, tmp_pa
     assert run(scratch_path(spark, "progress")) == [("09", 2, 4), ("10", 1, 1)]
 
 
+def cut_off(monkeypatch, at, nth):
+    """Let the ``nth`` call of a step of publication fail: ``before`` or ``after`` it took effect."""
+    step, when = at
+    whole, calls = getattr(serving.ServedDays, step), []
+
+    def broken(self, *args):
+        calls.append(step)
+        if len(calls) == nth and when == "before":
+            raise RuntimeError("cut off")
+        whole(self, *args)
+        if len(calls) == nth:
+            raise RuntimeError("cut off")
+
+    monkeypatch.setattr(serving.ServedDays, step, broken)
+
+
+@pytest.mark.parametrize("at", [("_swap", "before"), ("_swap", "after"), ("_clean", "after")])
+@pytest.mark.parametrize("name", ["vehicle_daily_stats", "fleet_hourly_stats"])
+def test_a_batch_that_was_cut_off_loses_nothing(spark, sf, monkeypatch, name, at):
+    _, stream = several_files(spark, sf, 3)
+    path, progress = scratch_path(spark, name), scratch_path(spark, "progress")
+
+    def run():
+        parsed = src.parsed_messages(stream)
+        jobs.finish(outputs.start(name, parsed, path, progress, "40 days"))
+
+    with monkeypatch.context() as patched:
+        cut_off(patched, at, 2)
+        with pytest.raises(StreamingQueryException):
+            run()
+    # readers have the days of whole batches
+    seen = rows(rounded(outputs.read(spark, name, path)))
+    served = serving.ServedDays(spark, path)
+    assert len(served.pointers()) == (1 if at[1] == "before" else 2) and seen
+    if at[1] == "before":
+        # the folder of the second batch is there, and no pointer names it
+        assert len(served._names("versions")) == 2 and len(set(served.days().values())) == 1
+    run()
+    expected = getattr(windows, name)(telemetry.clean(src.telematics(spark, sf)))
+    assert rows(rounded(outputs.read(spark, name, path))) == rows(rounded(expected))
+    # folders that nobody can read any more are gone
+    named = {v for n in served.pointers()[-2:] for v in served.days(n).values()}
+    assert set(served._names("versions")) == named and len(served.pointers()) <= 2
+
+
+def test_a_version_that_was_half_written_is_never_read(spark, tmp_path):
+    path = str(tmp_path / "table")
+    served = serving.ServedDays(spark, path)
+    first = spark.sql("SELECT 1 AS n, DATE'2025-01-01' AS window_date UNION ALL SELECT 2, DATE'2025-01-02'")
+    served.publish(["2025-01-01", "2025-01-02"], lambda f: serving.write_days(first, f"{f}/rows"))
+
+    def half(folder):
+        serving.write_days(first.where("n = 1").withColumn("n", F.lit(9)), f"{folder}/rows")
+        raise RuntimeError("cut off")
+
+    with pytest.raises(RuntimeError):
+        served.publish(["2025-01-01", "2025-01-02"], half)
+    assert rows(serving.read(spark, path)) == rows(first)
+    changed = first.where("n = 1").withColumn("n", F.lit(3))
+    served.publish(["2025-01-01"], lambda f: serving.write_days(changed, f"{f}/rows"))
+    assert sorted(r["n"] for r in serving.read(spark, path).collect()) == [2, 3]
+    assert served.read("rows", first.schema, ["2025-03-01"]) is None
+    # a reader of the pointer before finds its folders
+    assert {served.days(n)["2025-01-01"] for n in served.pointers()} <= set(served._names("versions"))
+
+
+def test_a_second_writer_is_noticed(spark, tmp_path, monkeypatch):
+    served = serving.ServedDays(spark, str(tmp_path / "table"))
+    served._swap({"2025-01-01": "a"})
+    monkeypatch.setattr(served, "pointers", lambda: [])
+    with pytest.raises(RuntimeError, match="somebody else"):
+        served._swap({"2025-01-01": "b"})
+
+
 def write_lines(folder, name, lines):
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "w", encoding="utf-8") as out:
@@ -252,4 +327,4 @@ def test_all_outputs_together(spark, sf):
     for query in outputs.start_all(parsed, root, progress).values():
         jobs.finish(query)
     for name in outputs.OUTPUTS:
-        assert not spark.read.parquet(f"{root}/{name}").isEmpty(), name
+        assert not outputs.read(spark, name, f"{root}/{name}").isEmpty(), name
