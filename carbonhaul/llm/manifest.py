@@ -359,14 +359,14 @@ def _below(runs):
     )
 
 
-def with_paths(levels, tops):
+def with_paths(levels, crowned):
     """The lowest runs with the steps from the node they become to the top, and the key's root.
 
-    ``tops`` has key, path (the steps above the key's own root) and root.
+    ``crowned`` gives a key's last run its path (the steps above the key's own root) and root.
     """
     known = None
     for level in reversed(levels):
-        runs = level.where(f"size <= {FANOUT}").join(tops, "key")
+        runs = crowned(level.where(f"size <= {FANOUT}"))
         if known is not None:
             runs = runs.unionByName(
                 level.where(f"size > {FANOUT}").join(
@@ -407,16 +407,14 @@ def manifest(docs):
 def proofs(tree):
     """doc_id, leaf, tampered, subroot, and path: the (left, right) steps from each leaf to the root."""
     none = F.array().cast("array<struct<left:string,right:string>>")
-    start = tree.subroots.sparkSession.range(1).select(
-        F.lit("all").alias("key"), none.alias("path"), F.lit(tree.root).alias("root")
-    )
-    tops = with_paths(tree.top_levels, start).select(
+    end = lambda runs: runs.select("*", none.alias("path"), F.lit(tree.root).cast("string").alias("root"))
+    tops = with_paths(tree.top_levels, end).select(
         F.explode("slots").alias("own"), "slots", "path", "size"
     ).select(
         F.col("own.source_key").alias("key"), _path().alias("path"),
         _hex(F.col("own.node")).alias("root"),
     )
-    return with_paths(tree.levels, tops).select(
+    return with_paths(tree.levels, lambda runs: runs.join(tops, "key")).select(
         F.explode("slots").alias("own"), "slots", "path", "size", "root"
     ).select(
         F.col("own.doc_id").alias("doc_id"), _hex(F.col("own.node")).alias("leaf"),

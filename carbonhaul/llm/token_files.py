@@ -23,11 +23,11 @@ its offset, and decodes all words of one selector at once.
 Spark sorts the documents by ranges of doc_id and writes each range to files whose names are in order. A
 segment is a row of the text writer, whose line separator is the trailer, so commits, retries and
 lost executors are handled as for any table, on any file system. Texts are encoded after
-the sort, once. An index beside the files has the number of ids before each.
+the sort, once. ``index`` gives the number of ids before each file.
 
 Defined cases: a null or empty text has no ids but the end id; a null doc_id comes first; rows that
 repeat a doc_id stand in the order in which they were read, over several files if they are many; a text of any
-length is one document, cut into blocks; an empty table gives an index without rows. Other columns are
+length is one document, cut into blocks; an empty table gives no segment and no rows. Other columns are
 ignored, whatever their names.
 """
 
@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import schema, scratch_path, table
+from .common import schema, scratch_path, staged, table
 from .tokens import encoder
 
 MAGIC, TRAILER = b"TOKENS8B", b"\nEND8B\n\n"
@@ -211,7 +211,7 @@ def segments(data):
 
 
 def write_files(docs, path, vocabulary="byte_bpe_50k", end_id=2, file_segments=FILE_SEGMENTS):
-    """Write the ids of all documents in ascending doc_id order below ``path``/ids, and the index."""
+    """Write the ids of all documents in ascending doc_id order below ``path``/ids."""
 
     def encoded(batches):
         import pyarrow as pa
@@ -250,7 +250,6 @@ def write_files(docs, path, vocabulary="byte_bpe_50k", end_id=2, file_segments=F
         .option("maxRecordsPerFile", file_segments)
         .text(f"{path}/ids")
     )
-    index(docs.sparkSession, path).write.parquet(f"{path}/index")
 
 
 def _files(spark, path):
@@ -259,8 +258,18 @@ def _files(spark, path):
     )
 
 
+def _starts(totals):
+    """``totals`` (file, documents, ids), one row a file, with the ids of all files before each."""
+    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    split = F.regexp_extract("file", r"-c(\d+)", 1).cast("long")
+    # one row a file, not a document
+    before = Window.orderBy(part, split).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("*", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+
+
 def index(spark, path):
-    """One row a file: file, documents, ids, and start, the ids of all files before it."""
+    """One row a file: file, documents, ids, and start, the ids of all files before it; from the
+    segments' headers alone."""
 
     def totals(batches):
         import pyarrow as pa
@@ -277,11 +286,7 @@ def index(spark, path):
             )
 
     found = _files(spark, path).mapInArrow(totals, schema("file string, documents long, ids long"))
-    # one row a file, not a document
-    part = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
-    split = F.regexp_extract("file", r"-c(\d+)", 1).cast("long")
-    before = Window.orderBy(part, split).rowsBetween(Window.unboundedPreceding, -1)
-    return found.select("*", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    return _starts(found)
 
 
 def read_files(spark, path, with_ids=False):
@@ -312,7 +317,12 @@ def read_files(spark, path, with_ids=False):
 
     out = "file string, inside long, doc_id long, n_tokens long, ids_crc32 long"
     found = _files(spark, path).mapInArrow(decoded, schema(out + ", ids binary" * with_ids))
-    starts = spark.read.parquet(f"{path}/index").select("file", F.col("start").alias("file_start"))
+    # decoded once, for the rows and for the totals of the files
+    found = staged(found, "token-rows")
+    totals = found.groupBy("file").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids")
+    )
+    starts = _starts(totals).select("file", F.col("start").alias("file_start"))
     return found.join(starts, "file").select(
         "doc_id", (F.col("file_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32",
         *["ids"] * with_ids,
