@@ -64,7 +64,7 @@ class QuantisedTiles:
     def __init__(self, k):
         self.k = k
 
-    def __call__(self, query_ids, queries, ids, matrix):
+    def __call__(self, query_rows, queries, rows, ids, matrix):
         wide = "float32" if matrix.shape[1] * 127 * 127 < 2**24 else "float64"
         row_codes, row_scale, row_missed = coded(matrix)
         asked, ask_scale, ask_missed = coded(queries)
@@ -76,7 +76,10 @@ class QuantisedTiles:
                 near = asked[tile].astype(wide) @ row_codes[part].astype(wide).T
                 near = near * ask_scale[tile, None] * row_scale[None, part]
                 slack = ask_missed[tile, None] + row_missed[None, part] * (1 + ask_missed[tile, None])
-                self._merge(heaps, near, slack + SLACK, query_ids[tile], queries[tile], ids[part], matrix[part])
+                self._merge(
+                    heaps, near, slack + SLACK, query_rows[tile], queries[tile], rows[part], ids[part],
+                    matrix[part],
+                )
             for q, heap in enumerate(heaps):
                 best = sorted(heap, reverse=True)
                 yield (
@@ -85,16 +88,16 @@ class QuantisedTiles:
                     np.array([s for s, _ in best], "float64"),
                 )
 
-    def _merge(self, heaps, near, slack, query_ids, queries, ids, rows):
+    def _merge(self, heaps, near, slack, query_rows, queries, rows, ids, matrix):
         lower, upper = near - slack, near + slack
         for q, heap in enumerate(heaps):
-            others = ids != query_ids[q]
+            others = rows != query_rows[q]
             floor = heap[0][0] if len(heap) == self.k else -np.inf
             bounds = lower[q][others]
             if len(bounds) > self.k:
                 floor = max(floor, np.partition(bounds, len(bounds) - self.k)[len(bounds) - self.k])
             able = np.flatnonzero(others & (upper[q] >= floor))
-            for score, i in zip(cosines(queries[q], rows[able]).tolist(), ids[able].tolist()):
+            for score, i in zip(cosines(queries[q], matrix[able]).tolist(), ids[able].tolist()):
                 entry = (score, -i)
                 if len(heap) < self.k:
                     heapq.heappush(heap, entry)
@@ -116,17 +119,17 @@ def op10_nearest_neighbours(spark, sf_dir):
 
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
-  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
-        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-          AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id)),
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 n AS (SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda a, b: a + b)) AS length FROM v),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
          list_reduce(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]), lambda a, b: a + b)
            / (q.length * c.length) AS score
-  FROM n q JOIN n c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+  FROM n q JOIN n c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 5"""

@@ -1,11 +1,15 @@
 """Exact top-k search by aggregation of sorted lists without random access.
 
-The components of a block's vectors stand in one sorted list each. For a query the lists are read
-in the order of their contribution, largest first, in steps. After each step every row has a lower
-bound (what was read of it, and the smallest contribution of every list it was not met in) and an
-upper bound (what was read, and the current value of the other lists). Reading ends when the k-th
-best lower bound leaves only few rows whose upper bound reaches it; no other row can qualify. The
-scores of those are then resolved, and ties go to the smaller id.
+The components of a block's vectors stand in one list each, of which the ends are known as if it were
+sorted: the best and the worst contribution that a row not yet met in it can have. For a query the lists are read
+one after the other, those first whose contributions differ most. Every row then has a lower bound (what
+was read of it, and the worst of the lists still unread) and an upper bound (the best of those).
+Reading ends when few rows are left whose upper bound reaches the k-th best lower bound; no outsider
+can qualify. The scores of the rest are resolved, and ties go to the smaller id.
+
+A query carries its k-th best score from block to block. Blocks are made of rows of similar length, the
+longest first, so that bounds are high early; a block whose lists cannot reach the score together is not
+read at all.
 
 Scores are integers, ``floor(scale * x)`` of each component. They are exact for any size of component: blocks
 whose sums could pass 2**53 are computed with Python's integers, and scores are clipped to 64 bits.
@@ -20,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import staged, table
 from .vectors import block_search, valid_vectors
 
-#: shares of the lists read by the end of each step
-STEPS = (0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 1.0)
+#: shares of a query's lists after which bounds are compared
+STEPS = (0.25, 0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
+#: rows of a task's group, and of the blocks that are read one after the other
+GROUP, BLOCK = 16384, 4096
 
 
 def scaled(matrix, scale):
@@ -39,72 +45,94 @@ def resolved(ids, scores, k):
     return ids[order], scores[order]
 
 
+class Lists:
+    """The lists of one block's components, with their ends."""
+
+    def __init__(self, rows):
+        self.values = np.ascontiguousarray(rows.T, dtype="float64")
+        self.low, self.high = self.values.min(axis=1), self.values.max(axis=1)
+
+    def ends(self, query):
+        """Best and worst contribution of every list."""
+        one, other = query * self.low, query * self.high
+        return np.maximum(one, other), np.minimum(one, other)
+
+    def qualified(self, query, k, floor, own, steps):
+        """(numbers of the rows that may be among the k best with a score of at least ``floor``, the
+        lists read for them)."""
+        best, worst = self.ends(query)
+        if best.sum() < floor:
+            return np.empty(0, "int64"), 0
+        order = np.argsort(worst - best, kind="stable")
+        known = np.zeros(self.values.shape[1])
+        if own is not None:
+            known[own] = -np.inf
+        alive, read = None, 0
+        for share in steps:
+            end = max(read + 1, int(round(len(order) * share)))
+            some = order[read:end]
+            if not len(some):
+                continue
+            values = self.values[some] if alive is None else self.values[np.ix_(some, alive)]
+            known += query[some] @ values
+            read = end
+            left = order[read:]
+            if len(known) > k:
+                kth = np.partition(known, len(known) - k)[len(known) - k] + worst[left].sum()
+                floor = max(floor, kth)
+            able = np.flatnonzero(known + best[left].sum() >= floor)
+            # rows that cannot qualify are not followed further, once that saves work
+            if alive is None and len(able) > len(known) // 2:
+                continue
+            alive = able if alive is None else alive[able]
+            known = known[able]
+            if len(alive) <= 2 * k:
+                break
+        if alive is None:
+            alive = np.flatnonzero(known + best[left].sum() >= floor)
+        return alive, read
+
+
 class NoRandomAccess:
-    """Search of one block; see ``vectors.block_search``."""
+    """Search of one group; see ``vectors.block_search``."""
 
     score_type = "long"
 
-    def __init__(self, k, scale, steps=STEPS):
-        self.k, self.scale, self.steps = k, scale, steps
+    def __init__(self, k, scale, steps=STEPS, block=BLOCK):
+        self.k, self.scale, self.steps, self.block = k, scale, steps, block
 
-    def __call__(self, query_ids, queries, ids, matrix):
-        rows = scaled(matrix, self.scale)
-        asked = scaled(queries, self.scale)
-        if rows.dtype == object or asked.dtype == object:
-            yield from self._wide(query_ids, asked, ids, rows)
+    def __call__(self, query_rows, queries, rows, ids, matrix):
+        values, asked = scaled(matrix, self.scale), scaled(queries, self.scale)
+        if values.dtype == object or asked.dtype == object:
+            yield from self._wide(query_rows, asked, rows, ids, values)
             return
-        up = np.argsort(rows, axis=0, kind="stable").astype("int32")
-        values = np.take_along_axis(rows, up, axis=0).astype("float64")
-        lists = (up, up[::-1], values, values[::-1])
-        at = {v: i for i, v in enumerate(ids.tolist())}
-        exact = rows.astype("float64")
-        for q, own in enumerate(query_ids.tolist()):
-            some = self._qualified(asked[q].astype("float64"), lists, at.get(own))
-            scores = (exact[some] @ asked[q].astype("float64")).astype("int64")
-            yield (q, *resolved(ids[some], scores, self.k))
-
-    def _qualified(self, query, lists, own):
-        """Row numbers of all that may be among the k best, without the query's own row."""
-        up, down, rising, falling = lists
-        n = len(up)
-        dims = np.flatnonzero(query)
-        others = np.delete(np.arange(n), own) if own is not None else np.arange(n)
-        if len(others) <= self.k or not len(dims):
-            return others
-        backwards = query[dims] > 0
-        seen = np.zeros((n, len(dims)))
-        columns = np.broadcast_to(np.arange(len(dims)), (1, len(dims)))
-        weights = query[dims]
-        last = np.where(backwards, falling[-1, dims], rising[-1, dims]) * weights
-        known = np.zeros(n)
-        lower = np.full(n, last.sum())
-        start = 0
-        for share in self.steps:
-            end = max(start + 1, int(n * share)) if share < 1 else n
-            end = min(end, n)
-            if end == start:
-                continue
-            met = np.where(backwards, down[start:end, dims], up[start:end, dims])
-            read = np.where(backwards, falling[start:end, dims], rising[start:end, dims]) * weights
-            flat = met.ravel()
-            known += np.bincount(flat, read.ravel(), n)
-            lower += np.bincount(flat, (read - last).ravel(), n)
-            seen[met, np.broadcast_to(columns, met.shape)] = 1.0
-            current = read[-1]
-            upper = known + (current.sum() - seen @ current)
-            kth = np.partition(lower[others], len(others) - self.k)[len(others) - self.k]
-            able = others[upper[others] >= kth]
-            if len(able) <= max(2 * self.k, n // 32) or end == n:
-                return able
-            start = end
-        return able
-
-    def _wide(self, query_ids, asked, ids, rows):
+        lengths = (values.astype("float64") ** 2).sum(axis=1)
+        order = np.argsort(-lengths, kind="stable")
+        asked = asked.astype("float64")
+        best = [(np.empty(0, "int64"), np.empty(0, "int64")) for _ in query_rows]
+        for start in range(0, len(order), self.block):
+            part = order[start : start + self.block]
+            lists, block_ids = Lists(values[part]), ids[part]
+            at = {r: i for i, r in enumerate(rows[part].tolist())}
+            for q, own in enumerate(query_rows.tolist()):
+                known_ids, known = best[q]
+                floor = known[-1] if len(known) == self.k else -np.inf
+                some, _ = lists.qualified(asked[q], self.k, floor, at.get(own), self.steps)
+                some = some[some != at.get(own, -1)]
+                if not len(some):
+                    continue
+                scores = (asked[q] @ lists.values[:, some]).astype("int64")
+                best[q] = resolved(
+                    np.concatenate((known_ids, block_ids[some])), np.concatenate((known, scores)), self.k
+                )
+        yield from ((q, *found) for q, found in enumerate(best))
+
+    def _wide(self, query_rows, asked, rows, ids, values):
         low, high = -(2**63), 2**63 - 1
-        for q, own in enumerate(query_ids.tolist()):
+        for q, own in enumerate(query_rows.tolist()):
             found = sorted(
-                (-min(high, max(low, sum(a * b for a, b in zip(asked[q], row)))), int(i))
-                for i, row in zip(ids, rows) if i != own
+                (-min(high, max(low, sum(a * b for a, b in zip(asked[q], x)))), int(i))
+                for r, i, x in zip(rows, ids, values) if r != own
             )[: self.k]
             yield q, np.array([i for _, i in found], "int64"), np.array([-s for s, _ in found], "int64")
 
@@ -112,7 +140,7 @@ class NoRandomAccess:
 def top_k(embeddings, is_query, k=10, scale=1024):
     """query_id, rank, vec_id, score of the k best rows for every query."""
     vectors = staged(valid_vectors(embeddings), "topk-vectors")
-    return block_search(vectors, is_query, NoRandomAccess(k, scale), k)
+    return block_search(vectors, is_query, NoRandomAccess(k, scale), k, GROUP)
 
 
 def op9_exact_top_k(spark, sf_dir):
@@ -122,14 +150,14 @@ def op9_exact_top_k(spark, sf_dir):
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM (SELECT vec_id, min(embedding) AS embedding FROM embeddings
-        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id)),
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 10"""

@@ -28,20 +28,21 @@ def table(spark, n=260, dim=8, seed=1):
 
 
 def valid(rows, zero):
-    kept = {}
-    for i, v, _ in rows:
-        if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        if zero or any(v):
-            kept[i] = min(kept.get(i, v), v)
-    return kept
+    return [
+        (i, v) for i, v, _ in rows
+        if i is not None and v and not any(x is None or not math.isfinite(x) for x in v)
+        and (zero or any(v))
+    ]
 
 
 def brute(kept, every, k, score):
     out = []
-    for q in (i for i in kept if i % every == 0):
-        others = [(-score(kept[q], kept[i]), i) for i in kept if i != q and len(kept[i]) == len(kept[q])]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(others)[:k], 1)]
+    for own, (q, v) in enumerate(kept):
+        if q % every == 0:
+            others = [
+                (-score(v, w), i) for n, (i, w) in enumerate(kept) if n != own and len(w) == len(v)
+            ]
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(others)[:k], 1)]
     return sorted(out)
 
 
@@ -59,12 +60,40 @@ def cosine(a, b):
 def test_exact_top_k(spark, monkeypatch):
     df, rows = table(text_session(spark))
     want = brute(valid(rows, True), 10, 6, whole)
-    for block in (4096, 64):
-        monkeypatch.setattr(vectors.block_search, "__defaults__", (block,))
+    for group, block in ((16384, 4096), (64, 16)):
+        monkeypatch.setattr(topk, "GROUP", group)
+        monkeypatch.setattr(topk.NoRandomAccess.__init__, "__defaults__", (topk.STEPS, block))
         got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=6)
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_rows_that_repeat_a_vec_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0], "x"), (1, [0.9, 0.1], "x"), (1, [0.5, 0.5], "x"), (0, [1.0, 0.0], "x")]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect()))
+    assert got == sorted([
+        (0, 1, 0, 1024 * 1024), (0, 2, 1, 1024 * 921), (0, 3, 1, 1024 * 512)
+    ] * 2)
+    got = sorted((q, r, i, round(s, 3)) for q, r, i, s in
+                 block_join.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == sorted([(0, 1, 0, 1.0), (0, 2, 1, 0.994), (0, 3, 1, 0.707)] * 2)
+
+
+def test_reading_stops_early():
+    rng = np.random.default_rng(9)
+    values = topk.scaled(rng.normal(size=(4096, 32)) * np.linspace(2, 0.2, 32), 1024)
+    lists = topk.Lists(values)
+    read = []
+    for q in values[:40].astype("float64"):
+        some, n = lists.qualified(q, 10, -np.inf, None, topk.STEPS)
+        scores = values @ q
+        assert set(np.flatnonzero(scores >= np.partition(scores, -10)[-10])) <= set(some.tolist())
+        read.append(n)
+        # a score that the lists cannot reach together: nothing is read
+        assert lists.qualified(q, 10, lists.ends(q)[0].sum() + 1, None, topk.STEPS)[1] == 0
+    assert np.mean(read) < 32
+
+
 def test_exact_top_k_of_huge_components(spark):
     rows = [(i, [float(10**6 * (i % 3)), 7e5 + i, 1.0], "x") for i in range(20)]
     got = topk.top_k(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 10 == 0, k=4, scale=2**20)
