@@ -44,9 +44,15 @@ def ship_package(spark):
     _SHIPPED.add(context.applicationId)
 
 
+#: the shuffle files of a finished query go, without waiting for the driver's garbage collection
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def text_session(spark):
     """Small Arrow batches for frames that carry whole texts; the code where it is needed."""
     ship_package(spark)
+    if spark.conf.get(CLEANUP, None) != "true":
+        spark.conf.set(CLEANUP, "true")
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") != str(BATCH_ROWS):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
@@ -64,6 +70,15 @@ def staged(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df):
+    """Delete the files of a ``staged`` frame after its last reader."""
+    spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 

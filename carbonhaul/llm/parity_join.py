@@ -14,8 +14,9 @@ last in that order has at least ``blocks - d - 1`` others below it on both sides
 it out. ``d + 1`` keys per document and band remain.
 
 Rows with equal sets are one class from then on. In each bucket of equal keys the smallest class
-leads and is compared with all others, and components follow. Members of one bucket that are still
-in different components are then held against each other by bit sketches, in blocks within a task:
+leads. Every class is compared with the leader that it shares most keys with, components follow, and
+then with those of its other leaders that are still in different components. Members of one bucket that
+are in different components after that are held against each other by bit sketches, in blocks within a task:
 there an n-gram flips one bit, the Hamming distance is again a lower bound, and pairs whose distance
 exceeds ``d`` go no further. First each member is compared with its nearest one in another component;
 then, with the components that follow, all pairs that the sketches leave. So thousands of near
@@ -36,7 +37,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import functions as F
 
-from .common import lowered, schema, staged, table
+from .common import discard, lowered, schema, staged, table
 from .components import components
 
 NGRAM, PERCENT = 4, 85
@@ -46,6 +47,8 @@ SPARE = 4
 BITS = 8
 #: members of a bucket that are held against as many others at a time
 CHUNK = 1024
+#: partners that one copy of a document's text is compared with
+COMPARED = 256
 #: words whose hashes a worker keeps
 KEPT_WORDS = 400_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
@@ -204,9 +207,8 @@ def sketched(docs, ngram, percent):
 
 
 def buckets(sketches):
-    """(bucket, leader, class): classes that share a key with a smaller class, which leads.
-
-    Buckets of the same classes are one.
+    """(bucket, leader, class, keys): classes that share keys with a smaller class, which leads, and
+    their number. Buckets of the same classes are one.
     """
     from pyspark.sql import Window
 
@@ -220,48 +222,64 @@ def buckets(sketches):
     )
     return (
         rows.where("class <> leader")
-        .select(F.xxhash64("leader", "n", "x", "s").alias("bucket"), "leader", "class")
-        .distinct()
+        .groupBy(F.xxhash64("leader", "n", "x", "s").alias("bucket"), "leader", "class")
+        .agg(F.count(F.lit(1)).alias("keys"))
     )
 
 
-def _texts(docs, ids):
-    """doc_id and text of the documents in ``ids`` (node)."""
-    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    if ids.count() <= SMALL_IDS:
-        ids = F.broadcast(ids)
-    return staged(named.join(ids, "node", "left_semi").distinct(), "join-texts")
-
-
 def links(pairs, docs, ngram, percent):
-    """Those of ``pairs`` (a, b) whose texts are similar enough."""
-    ids = staged(
-        pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "join-ids"
+    """Those of ``pairs`` (a, b) whose texts are similar enough.
+
+    Texts are read once. The text of b goes to a's, which is sent once for every ``COMPARED`` of its
+    partners, so that a document with many of them is compared in many tasks.
+    """
+    if pairs.isEmpty():
+        return pairs
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / COMPARED).cast("int").alias("shares"))
+    dealt = pairs.join(shares, "a").select(
+        "a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b"
+    )
+    ends = staged(
+        dealt.select(F.col("b").alias("node"), "a", "share", "b").unionByName(
+            dealt.select(F.col("a").alias("node"), "a", "share", F.lit(None).cast("long").alias("b"))
+            .distinct()
+        ),
+        "join-ends",
     )
-    texts = _texts(docs, ids)
-    both = pairs.join(
-        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
-    ).join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    named = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    met = named.join(F.broadcast(ends) if ends.count() <= SMALL_IDS else ends, "node")
 
     def compare(batches):
         import pyarrow as pa
 
-        of, kept = shingles(ngram).of, {}
+        of, group, led = shingles(ngram).of, None, []
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if x not in kept:
-                    if len(kept) >= 32:
-                        kept.clear()
-                    kept[x] = of(x)
-                one, other = kept[x], of(y)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                linked.append(100 * common >= percent * (len(one) + len(other) - common) > 0)
+            for a, share, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, share) != group:
+                    group, led = (a, share), []
+                elements = of(text)
+                if b is None:
+                    # a document that stands in several rows links through each of its texts
+                    if not any(np.array_equal(elements, x) for x in led):
+                        led.append(elements)
+                    linked.append(False)
+                else:
+                    linked.append(any(similar(x, elements, percent) for x in led))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1)], names=["a", "b"]
+                [batch.column("a"), batch.column("b")], names=["a", "b"]
             ).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    ordered = (
+        met.select("a", "share", "b", "text").repartition("a", "share")
+        .sortWithinPartitions("a", "share", F.col("b").isNotNull())
+    )
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
+
+
+def similar(one, other, percent):
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * common >= percent * (len(one) + len(other) - common) > 0
 
 
 def within_buckets(rows, percent, nearest_only):
@@ -270,10 +288,8 @@ def within_buckets(rows, percent, nearest_only):
 
     Large buckets are cut into chunks; every pair of chunks is one group.
     """
-    from pyspark.sql import Window
-
-    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("bucket")) / F.lit(CHUNK)).cast("int")
-    dealt = rows.withColumn("chunks", chunks).withColumn(
+    chunks = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "bucket").withColumn(
         "chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
     )
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
@@ -322,7 +338,18 @@ def within_buckets(rows, percent, nearest_only):
 def joined(docs, ngram=NGRAM, percent=PERCENT):
     """doc_id, n_shingles, component_id of every row."""
     sketches = staged(sketched(docs, ngram, percent), "join-sketches")
-    facts = sketches.select("doc_id", "n_shingles", "class", "class2")
+    facts = staged(sketches.select("doc_id", "n_shingles", "class", "class2"), "join-facts")
+    members = staged(buckets(sketches), "join-buckets")
+    # bit sketches of the classes that share a key with others; the keys are not needed any more
+    bits = staged(
+        sketches.where("band IS NOT NULL").join(
+            members.select("class").distinct(), "class", "left_semi"
+        )
+        .groupBy("class")
+        .agg(*(F.first(c).alias(c) for c in ("n_shingles", "band", "bits", "bits_below"))),
+        "join-bits",
+    )
+    discard(sketches)
     named = facts.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(
         named.groupBy("class", "class2").agg(
@@ -330,7 +357,6 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         ),
         "join-classes",
     )
-    members = staged(buckets(sketches), "join-buckets")
 
     def comparable(pairs):
         """Pairs of classes as pairs of documents of fitting size."""
@@ -354,19 +380,31 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         .where("a <> z").drop("z").join(several, "doc_id")
         .select("a", F.col("node").alias("b")).where("a <> b")
     )
-    led = comparable(members.select("leader", "class").distinct())
-    found = staged(links(led, docs, ngram, percent).unionByName(several), "join-links")
+    led = staged(members.groupBy("leader", "class").agg(F.sum("keys").alias("keys")), "join-led")
+    closest = led.groupBy("class").agg(F.max_by("leader", F.struct("keys", "leader")).alias("leader"))
+    found = staged(
+        links(comparable(closest), docs, ngram, percent).unionByName(several), "join-links"
+    )
     parts = staged(parts_of(found), "join-parts")
 
-    # members of one bucket in different components, apart from its leader
-    bits = staged(
-        sketches.where("band IS NOT NULL").join(
-            members.select("class").distinct(), "class", "left_semi"
-        )
-        .groupBy("class")
-        .agg(*(F.first(c).alias(c) for c in ("n_shingles", "band", "bits", "bits_below"))),
-        "join-bits",
+    def enlarged(pairs):
+        """Links and components with what of ``pairs`` turns out to be linked."""
+        more = staged(links(pairs, docs, ngram, percent), "join-more")
+        if more.isEmpty():
+            return found, parts
+        both = staged(found.unionByName(more), "join-links")
+        return both, staged(parts_of(both), "join-parts")
+
+    # classes and leaders that are still apart
+    one_part = parts.groupBy("class").agg(F.min("part").alias("part"))
+    apart = (
+        led.join(one_part, "class")
+        .join(one_part.select(F.col("class").alias("leader"), F.col("part").alias("leading")), "leader")
+        .where("part <> leading").select("leader", "class")
     )
+    found, parts = enlarged(comparable(apart))
+
+    # members of one bucket in different components
     for nearest_only in (True, False):
         within = members.join(parts.groupBy("class").agg(F.min("part").alias("part")), "class")
         unlike = (
@@ -384,11 +422,7 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         rows = known.join(lowest, "bucket").select(
             "bucket", "class", "part", F.col("n_shingles").alias("size"), sketch.alias("bits")
         )
-        held = comparable(within_buckets(rows, percent, nearest_only))
-        more = staged(links(held, docs, ngram, percent), "join-more")
-        if not more.isEmpty():
-            found = staged(found.unionByName(more), "join-links")
-            parts = staged(parts_of(found), "join-parts")
+        found, parts = enlarged(comparable(within_buckets(rows, percent, nearest_only)))
 
     has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return facts.join(parts, ["class", "class2"], "left").select(
