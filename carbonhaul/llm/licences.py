@@ -18,7 +18,9 @@ any length of what is neither letter nor digit. A tag counts every identifier of
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ BASE = (
 LICENCES = (
     ("mit", r"mit", "mit", r"(?:the )?mit(?:/x11)? licen[sc]e", r"opensource\.org/licen[sc]es/mit"),
     ("mit-0", r"mit-0", "mit", r"mit no attribution", r"opensource\.org/licen[sc]es/mit-0"),
-    ("x11", r"x11", "x11", r"x11 licen[sc]e", r"xfree86\.org/.{0,20}licen[sc]e"),
+    ("x11", r"x11", "x11", r"x11 licen[sc]e", r"xfree86\.org/(?:(?!xfree86\.org/)\S)*?licen[sc]e"),
     ("isc", r"isc", "isc", r"(?:the )?isc licen[sc]e", r"opensource\.org/licen[sc]es/isc"),
     ("apache-1.1", r"apache-1\.1", "apache", r"apache software licen[sc]e,? (?:version )?1\.1", r"apache\.org/licen[sc]es/licen[sc]e-1\.1"),
     ("apache-2.0", r"apache-2\.0", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v)?2(?:\.0)?", r"apache\.org/licen[sc]es/licen[sc]e-2\.0"),
@@ -81,10 +83,10 @@ LICENCES = (
     ("pddl", r"pddl-1\.0", "dedication", r"public domain dedication and licen[sc]e", r"opendatacommons\.org/licen[sc]es/pddl"),
     ("ofl", r"ofl-1\.[01]", "font", r"(?:sil )?open font licen[sc]e", r"scripts\.sil\.org/ofl"),
     ("openssl", r"openssl", "openssl", r"openssl licen[sc]e", r"openssl\.org/source/licen[sc]e"),
-    ("python-2.0", r"(?:python|psf)-2\.0", "python", r"python software foundation licen[sc]e", r"python\.org/.{0,30}licen[sc]e"),
+    ("python-2.0", r"(?:python|psf)-2\.0", "python", r"python software foundation licen[sc]e", r"python\.org/(?:(?!python\.org/)\S)*?licen[sc]e"),
     ("php-3.01", r"php-3\.0[01]?", "php", r"(?:the )?php licen[sc]e", r"php\.net/licen[sc]e"),
-    ("ruby", r"ruby", "ruby", r"(?:the )?ruby licen[sc]e", r"ruby-lang\.org/.{0,20}licen[sc]e"),
-    ("vim", r"vim", "vim", r"(?:the )?vim licen[sc]e", r"vimdoc\.sourceforge\.net/.{0,20}licen[sc]e"),
+    ("ruby", r"ruby", "ruby", r"(?:the )?ruby licen[sc]e", r"ruby-lang\.org/(?:(?!ruby-lang\.org/)\S)*?licen[sc]e"),
+    ("vim", r"vim", "vim", r"(?:the )?vim licen[sc]e", r"vimdoc\.sourceforge\.net/(?:(?!vimdoc\.sourceforge\.net/)\S)*?licen[sc]e"),
     ("postgresql", r"postgresql", "postgresql", r"postgresql licen[sc]e", r"postgresql\.org/about/licen[sc]e"),
     ("ncsa", r"ncsa", "ncsa", r"university of illinois/ncsa open source licen[sc]e", r"opensource\.org/licen[sc]es/ncsa"),
     ("ms-pl", r"ms-pl", "microsoft", r"microsoft public licen[sc]e", r"opensource\.org/licen[sc]es/ms-pl"),
@@ -209,12 +211,22 @@ def detections(text):
 
 
 def suppressed(found):
-    """Drop what lies inside a detection of higher priority, or of the same and greater length."""
-    kept = []
-    for one in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[3])):
-        if not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
-            kept.append(one)
-    return sorted(kept)
+    """Drop what lies inside a detection of higher priority, or of the same and greater length.
+
+    By start, and the longer ones first, what could contain a detection comes before it: the furthest end
+    so far decides, among its own kind and among the kinds before.
+    """
+    kept, starts, furthest = [], [], []
+    for _, alike in groupby(sorted(found, key=lambda d: (d[2], d[0], -d[1], d[3])), lambda d: d[2]):
+        reach, stay = -1, []
+        for one in alike:
+            before = bisect_right(starts, one[0])
+            if max(reach, furthest[before - 1] if before else -1) < one[1]:
+                stay.append(one)
+            reach = max(reach, one[1])
+        kept = sorted(kept + stay)
+        starts, furthest = [d[0] for d in kept], list(accumulate((d[1] for d in kept), max))
+    return kept
 
 
 _IN_WORD = np.zeros(256, bool)
@@ -238,13 +250,15 @@ def word_starts(text):
 
 def base_places(text, starts):
     """(first word, label) of every place where a base phrase stands."""
-    found = []
-    for gate, label, pattern in _PHRASES:
-        if gate in text:
-            found += [
-                (int(np.count_nonzero(starts[: m.start()])), label) for m in pattern.finditer(text)
-            ]
-    return found
+    found = [
+        (m.start(), label)
+        for gate, label, pattern in _PHRASES if gate in text for m in pattern.finditer(text)
+    ]
+    if not found:
+        return found
+    before = np.cumsum(starts)
+    # a place is the start of a word itself
+    return [(int(before[at]) - 1, label) for at, label in found]
 
 
 SCANNED = (
