@@ -11,12 +11,17 @@ Features are the distinct words of a text and their first letters, counted over
 documents. Only a part of the toxic documents is confirmed, so a feature that occurs in toxic
 documents alone is found in confirmed ones to that part; features are kept whose share of confirmed
 documents surely reaches half of it, the most over-represented first. The linear model over them
-is trained with numpy on a bounded sample (``POSITIVES``, ``UNLABELLED``); all documents are scored.
+is trained with numpy on a bounded sample: of the training rows those whose hash of doc_id and text is
+smallest, ``POSITIVES`` confirmed and ``UNLABELLED`` others expected, never more than ``LIMIT``. Rows
+that are equal in both are one row of the sample with their number as its weight. Counts of features, the prior, and the
+scores cover all rows.
 
 Defined cases: A-Z are lower-cased; a null or empty text has no features and gets the model's
-score for none; without a confirmed toxic training row every score is 0; rows that share a doc_id
+score for none; a text of any length counts each feature once, and is read whole; without a confirmed toxic training
+row every score is 0; features that tie are taken in the order of their bytes; rows that share a doc_id
 share their fold and their labels (toxic if one of them says so), and each is scored by its own
-text; null labels are no labels; an empty table gives no rows; other columns are ignored.
+text; repeated rows are scored alike; null labels are no labels; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from .common import WORD_BYTES, fold, lowered, schema, spread, staged, table
 FOLDS = 5
 #: expected numbers of confirmed toxic and of all training texts in the training sample
 POSITIVES, UNLABELLED = 6_000, 20_000
+#: rows of the training sample, in the order of their hash, that reach the driver at most
+LIMIT = 2 * (POSITIVES + UNLABELLED)
 #: features of the model, and in how many toxic texts one occurs at least
 FEATURES, LEAST = 2_048, 4
 #: part of the documents with a feature that must be toxic, by the lower end of its estimate
@@ -142,29 +149,38 @@ def fit(docs, labels):
                 for t in batch.column(0).to_pylist()
             ]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.binary()), batch.column(1), batch.column(2)],
-                names=["found", "positive", "unlabelled"],
+                [pa.array(found, pa.binary()), *batch.columns[1:]],
+                names=["found", "positive", "unlabelled", "n"],
             )
 
-    h = spread(F.col("doc_id"))
-
     def below(bound, n):
-        return h < min(1 << 60, int((1 << 60) * bound / max(1, n)))
-
-    sample = rows.select(
-        "text",
-        ((F.col("positive") == 1) & below(POSITIVES, n_toxic)).alias("positive"),
-        below(UNLABELLED, n_all).alias("unlabelled"),
-    ).where("positive OR unlabelled")
-    got = sample.mapInArrow(encode, "found binary, positive boolean, unlabelled boolean").toArrow()
-    texts = [np.frombuffer(x, "int32") for x in got.column("found").to_pylist()]
-    positive = [t for t, p in zip(texts, got.column("positive").to_pylist()) if p]
-    unlabelled = [t for t, u in zip(texts, got.column("unlabelled").to_pylist()) if u]
+        return F.col("h") < min(1 << 60, int((1 << 60) * bound / max(1, n)))
+
+    own = F.concat_ws(
+        ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")),
+    )
+    sample = (
+        rows.withColumn("h", spread(own))
+        .select(
+            "h", "text", ((F.col("positive") == 1) & below(POSITIVES, n_toxic)).alias("positive"),
+            below(UNLABELLED, n_all).alias("unlabelled"),
+        )
+        .where("positive OR unlabelled")
+        .groupBy("h")
+        .agg(F.first("text").alias("text"), F.first("positive").alias("positive"),
+             F.first("unlabelled").alias("unlabelled"), F.count(F.lit(1)).alias("n"))
+        .orderBy("h").limit(LIMIT).select("text", "positive", "unlabelled", "n")
+    )
+    out = schema("found binary, positive boolean, unlabelled boolean, n long")
+    got = sample.mapInArrow(encode, out).toArrow()
+    columns = (got.column(c).to_pylist() for c in ("found", "positive", "unlabelled", "n"))
+    # order by content: the sample arrives in any order
+    found = sorted(zip(*columns))
+    positive = [(np.frombuffer(x, "int32"), n) for x, p, _, n in found if p]
+    unlabelled = [(np.frombuffer(x, "int32"), n) for x, _, u, n in found if u]
     if not positive or not unlabelled:
         return names, np.zeros(len(names)), math.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
-    # order by content: the sample arrives in any order
-    positive.sort(key=lambda x: x.tobytes())
-    unlabelled.sort(key=lambda x: x.tobytes())
     return names, *train(positive, unlabelled, len(names), prior)
 
 
@@ -179,29 +195,42 @@ def sigmoid(z):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
+def risk(w, toxic, unlabelled, prior):
+    """(non-negative risk with the sigmoid loss, the step's direction).
+
+    Both samples are (matrix, weights). Where the estimated risk of calling a clean text toxic is below zero,
+    it counts as zero, and the step leads to a greater one.
+    """
+    x_p, n_p = toxic
+    x_u, n_u = unlabelled
+    p, u = sigmoid(x_p @ w[:-1] + w[-1]), sigmoid(x_u @ w[:-1] + w[-1])
+    mean_p, mean_u = np.average(p, weights=n_p), np.average(u, weights=n_u)
+    missed, clean = prior * (1 - mean_p), mean_u - prior * mean_p
+    g_toxic = _gradient(x_p, p * (1 - p), n_p)
+    g_clean = _gradient(x_u, u * (1 - u), n_u) - prior * g_toxic
+    if clean >= 0:
+        return missed + clean, g_clean - prior * g_toxic
+    return missed, -g_clean
+
+
 def train(positive, unlabelled, width, prior, epochs=EPOCHS, seed=7):
-    """Weights and bias that minimise the non-negative risk with the sigmoid loss."""
+    """Weights and bias that minimise the non-negative risk, of texts as (feature numbers, weight)."""
     prior = min(max(prior, 1e-3), 0.5)
     rng = np.random.default_rng(seed)
     w, state = np.zeros(width + 1), [np.zeros(width + 1), np.zeros(width + 1)]
     w[-1] = -1.0
     steps = 0
     batches = max(1, -(-len(unlabelled) // BATCH))
+
+    def part_of(rows, numbers):
+        some = [rows[i] for i in numbers]
+        return dense([x for x, _ in some], width), np.array([n for _, n in some], "float64")
+
     for _ in range(epochs):
         order = rng.permutation(len(unlabelled))
         for part in np.array_split(order, batches):
             some = rng.integers(0, len(positive), min(BATCH, max(64, len(positive))))
-            x_p = dense([positive[i] for i in some], width)
-            x_u = dense([unlabelled[i] for i in part], width)
-            z_p, z_u = x_p @ w[:-1] + w[-1], x_u @ w[:-1] + w[-1]
-            p, u = sigmoid(z_p), sigmoid(z_u)
-            clean_risk = u.mean() - prior * p.mean()
-            g_toxic = _gradient(x_p, p * (1 - p))
-            g_clean = _gradient(x_u, u * (1 - u)) - prior * g_toxic
-            if clean_risk >= 0:
-                step = g_clean - prior * g_toxic
-            else:
-                step = -g_clean
+            _, step = risk(w, part_of(positive, some), part_of(unlabelled, part), prior)
             step[:-1] += DECAY * w[:-1]
             steps += 1
             state[0] = 0.9 * state[0] + 0.1 * step
@@ -212,9 +241,9 @@ def train(positive, unlabelled, width, prior, epochs=EPOCHS, seed=7):
     return w[:-1], float(w[-1])
 
 
-def _gradient(x, slope):
-    slope = slope.astype("float32")
-    return np.append(x.T @ slope, slope.sum()).astype("float64") / len(x)
+def _gradient(x, slope, weights):
+    slope = slope * weights / weights.sum()
+    return np.append(x.T @ slope.astype(x.dtype), slope.sum()).astype("float64")
 
 
 def scored(docs, model):

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from carbonhaul.llm import language_model, licences, mixing, packing, parity_join, sharding, tokens
 from carbonhaul.llm import toxicity
-from carbonhaul.llm.common import text_session
+from carbonhaul.llm.common import lowered, text_session
 
+from . import cases
 from .cases import DOCUMENTS, documents, rows_of
 
 
@@ -251,6 +252,55 @@ def test_suppression():
     assert len(licences.rules()) >= 200
 
 
+def plainly_suppressed(found):
+    kept = []
+    for one in sorted(found, key=lambda d: (d[2], d[0] - d[1], d[0], d[3])):
+        if not any(k[0] <= one[0] and one[1] <= k[1] for k in kept):
+            kept.append(one)
+    return sorted(kept)
+
+
+def test_suppression_against_all_pairs_and_in_linear_time():
+    import random
+    import time
+
+    rng = random.Random(4)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(30)):
+            start = rng.randrange(20)
+            found.append((start, start + rng.randrange(8), rng.randrange(4), rng.choice("abc")))
+        assert licences.suppressed(found) == plainly_suppressed(found)
+    many = [(7 * i, 7 * i + 9, i % 4, "x") for i in range(16_000)]
+    started = time.perf_counter()
+    licences.suppressed(many)
+    assert time.perf_counter() - started < 1
+
+
+def test_licence_addresses_of_any_length():
+    for site in ("xfree86.org", "python.org", "ruby-lang.org", "vimdoc.sourceforge.net"):
+        far = f"see http://www.{site}/{'a/' * 40}license.txt"
+        assert {d[3] for d in licences.detections(far)} == {d[3] for d in licences.detections(f"{site}/license")} != set()
+        assert not licences.detections(f"{site}/about license")
+
+
+def test_keyword_gate_loses_nothing(spark):
+    """Every rule on every text, without the automaton."""
+    texts = [lowered(t).decode() for t in [*cases.texts(), *(r.text for r in spark.read.parquet(
+        "/root/testdata/sf0.01/documents.parquet").select("text").collect())] if t]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy".lower(),
+              "licensed under the apache license, version 2.0", "spdx-license-identifier: (mit or gpl-2.0+)",
+              "# released under the bsd 3-clause license\n# see python.org/psf/license"]
+    for text in texts:
+        found, tags = [], licences.tagged(text)
+        for kind, label, _, pattern in licences.rules():
+            if kind != licences.TAG:
+                found += [(m.start(), m.end(), kind, label) for m in pattern.finditer(text)]
+            else:
+                found += [(a, m.end(), kind, label) for a, at in tags if (m := pattern.match(text, at))]
+        assert licences.detections(text) == plainly_suppressed(found)
+
+
 def test_likelihoods(docs, clashing):
     rows = rows_of(docs)
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
@@ -318,6 +368,58 @@ def test_toxicity(spark):
     assert toxicity.without_toxic(docs, none).count() == docs.count()
 
 
+def test_risk_and_its_gradient():
+    rng = np.random.default_rng(8)
+    seen = set()
+    for case in range(40):
+        width, prior = 6, 0.3
+        toxic = (rng.integers(0, 2, (9, width)).astype("float64"), rng.integers(1, 4, 9).astype("float64"))
+        other = (rng.integers(0, 2, (12, width)).astype("float64"), rng.integers(1, 4, 12).astype("float64"))
+        w = rng.normal(size=width + 1) * 2
+        # rows with a weight are rows that often
+        value, step = toxicity.risk(w, toxic, other, prior)
+        p = [1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x, n in zip(*toxic) for _ in range(int(n))]
+        u = [1 / (1 + np.exp(-(x @ w[:-1] + w[-1]))) for x, n in zip(*other) for _ in range(int(n))]
+        clean = np.mean(u) - prior * np.mean(p)
+        assert np.isclose(value, prior * (1 - np.mean(p)) + max(0, clean))
+        seen.add(clean >= 0)
+
+        def part(v):
+            whole, _ = toxicity.risk(v, toxic, other, prior)
+            missed = prior * (1 - np.average(toxicity.sigmoid(toxic[0] @ v[:-1] + v[-1]), weights=toxic[1]))
+            inner = np.average(toxicity.sigmoid(other[0] @ v[:-1] + v[-1]), weights=other[1])
+            back = prior * np.average(toxicity.sigmoid(toxic[0] @ v[:-1] + v[-1]), weights=toxic[1]) - inner
+            # where the clean risk is negative the step is that of its opposite
+            return whole if clean >= 0 else back if missed >= 0 else None
+
+        for i in range(width + 1):
+            move = np.zeros(width + 1)
+            move[i] = 1e-6
+            slope = (part(w + move) - part(w - move)) / 2e-6
+            assert np.isclose(slope, step[i], atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_toxicity_with_one_row_repeated_and_clashing_columns(spark):
+    rows = [(i, f"plain words number{i % 7} here", "x", 0.5) for i in range(300)]
+    rows += [(1000 + i, "grubber vileone wretchly again", "x", 0.5) for i in range(60)]
+    rows += [(1, "one row that is a third of all", "x", 0.5)] * 200
+    rows += [(2, "long " * 60_000, "x", 0.5), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, positive string, score double")
+    labels = spark.createDataFrame(
+        [(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 1, 1) for i in range(60)],
+        "doc_id long, quality int, toxic int",
+    )
+    model = toxicity.fit(docs, labels)
+    got = toxicity.scored(docs, model)
+    assert got.columns == ["doc_id", "score"] and got.count() == len(rows)
+    assert got.where("doc_id = 1").count() == 201
+    assert got.where("doc_id >= 1000 AND score < 0.5").isEmpty()
+    assert got.where("doc_id < 1000 AND score >= 0.5").isEmpty()
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 60
+
+
 def test_mixing_defined_cases(docs, clashing):
     for df in (docs, clashing):
         got = mixing.mixed(mixing.measured(df)).collect()
