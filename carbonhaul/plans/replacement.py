@@ -233,31 +233,53 @@ def greedy_schedule(vehicles, budget=BUDGET_EUR):
 def with_option(schedule):
     """Attach the option's figures by its name, from the literal array."""
     matching = F.filter(options(), lambda o: o["type"] == F.col("ReplacementType"))
-    return schedule.select("*", matching[0].alias("o"))
+    return schedule.select("*", F.get(matching, F.lit(0)).alias("o"))
 
 
-def violations(schedule, vehicles):
-    """One row per rule with the number of breaches; zero everywhere means feasible."""
+def active_fleet(schedule, vehicles):
+    """Vehicles in service in every month of the horizon.
+
+    A successor arrives in its month. The old vehicle leaves then, though not before the second month; of
+    several entries of a vehicle the first one counts. An entry without ReplacementType retires the
+    vehicle without a successor. Arrivals and departures are +1 and -1 by month, added up over the months.
+    """
+    month = F.greatest(F.col("ReplacementMonth"), F.lit(0))
+    arrivals = schedule.where("ReplacementType IS NOT NULL").select(
+        month.alias("month"), F.lit(1).alias("change")
+    )
+    departures = schedule.groupBy("VIN").agg(F.min("ReplacementMonth").alias("first")).select(
+        F.greatest("first", F.lit(1)).alias("month"), F.lit(-1).alias("change")
+    )
+    changes = arrivals.unionByName(departures).groupBy("month").agg(F.sum("change").alias("change"))
+    size = vehicles.agg(F.count(F.lit(1)).alias("fleet"))
+    every = size.select("fleet", F.explode(months()).alias("month"))
+    upto = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return every.join(changes, "month", "left").select(
+        F.col("month").cast("bigint").alias("month"), "fleet",
+        (F.col("fleet") + F.sum(F.coalesce("change", F.lit(0))).over(upto)).alias("active"),
+    )
+
+
+def violations(schedule, vehicles, budget=BUDGET_EUR):
+    """One row per rule with the number of breaches; zero everywhere means feasible. The smallest
+    fleet is counted by month, infrastructure once for every option that is used."""
     rows = with_option(schedule)
     repeated = schedule.groupBy("VIN").count().where("count > 1")
-    crowded = schedule.groupBy("ReplacementMonth").count().where(F.col("count") > PER_MONTH)
-    per_option = rows.groupBy("ReplacementType").agg(
+    crowded = schedule.where("ReplacementType IS NOT NULL").groupBy("ReplacementMonth").count().where(
+        F.col("count") > PER_MONTH
+    )
+    per_option = rows.where("ReplacementType IS NOT NULL").groupBy("ReplacementType").agg(
         F.sum("Cost").alias("cost"), F.first("o.infrastructure_cost").alias("infrastructure")
     )
     overspent = per_option.agg(
-        (F.sum(F.col("cost") + F.col("infrastructure")) > BUDGET_EUR).alias("over")
+        (F.sum(F.col("cost") + F.col("infrastructure")) > budget).alias("over")
     ).where("over")
     timely = schedule.where(F.col("ReplacementMonth") < FORCED_MONTHS).select("VIN")
     overdue = vehicles.where(F.col("age") >= FORCED_AGE).join(timely, "VIN", "left_anti")
     early = rows.where(F.col("ReplacementMonth") < F.col("o.availability_start_month"))
-    # a vehicle leaves when its successor arrives, so only repeated entries change the number
-    size = vehicles.agg(F.count(F.lit(1)).alias("n"))
-    replaced = schedule.agg(
-        F.count(F.lit(1)).alias("new"), F.count_distinct("VIN").alias("gone")
+    small = active_fleet(schedule, vehicles).where(
+        F.col("active") < F.floor(F.col("fleet") * MIN_FLEET_SHARE)
     )
-    small = size.select(
-        "n", replaced.select("new").scalar().alias("new"), replaced.select("gone").scalar().alias("gone")
-    ).where(F.col("n") - F.col("gone") + F.col("new") < F.floor(F.col("n") * MIN_FLEET_SHARE))
     rules = {
         "max_one_replacement": repeated,
         "capacity_per_month": crowded,

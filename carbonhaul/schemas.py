@@ -114,6 +114,18 @@ SCENARIO_RUN = TableSpec(
     merge_keys=("ScenarioID",),
 )
 
+OPTIMIZATION_RESULTS = TableSpec(
+    name="OptimizationResults",
+    schema=struct(
+        "ScenarioID string NOT NULL, ScenarioName string NOT NULL, TimeHorizon_months int NOT NULL, "
+        "VehiclesReplaced bigint NOT NULL, CapEx_EUR double NOT NULL, OpEx_EUR double NOT NULL, "
+        "CO2_Reduction_t double NOT NULL, ETS_Savings_EUR double NOT NULL, NPV_EUR double NOT NULL, "
+        "ROI_Percent double, Payback_Years double, OptimizationMethod string NOT NULL"
+    ),
+    checks={"chk_replaced": "VehiclesReplaced >= 0"},
+    merge_keys=("ScenarioID",),
+)
+
 # The tables as the ingest jobs may keep them: declared columns plus those of the feed
 TRIP_FACTS_FROM_MESSAGES = replace(
     TRIP_FACTS,
@@ -143,7 +155,10 @@ FUEL_INVOICES_FROM_FILES = replace(
 #: when a row was written says nothing about which of two rows is the newer one
 WRITE_TIMES = ("ProcessedTime", "CreatedDate", "LastUpdated")
 
-TABLES = {s.name: s for s in (TRIP_FACTS, FUEL_INVOICES, PRICE_CURVE, SCENARIO_RUN)}
+TABLES = {
+    s.name: s
+    for s in (TRIP_FACTS, FUEL_INVOICES, PRICE_CURVE, SCENARIO_RUN, OPTIMIZATION_RESULTS)
+}
 
 # Trip-end message: text fields, then numbers, then the times (ISO-8601 text)
 MESSAGE_TEXT = ("messageId", "vehicleId", "vin", "tripId", "driverId", "routeId")
