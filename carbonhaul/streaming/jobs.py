@@ -64,12 +64,14 @@ def load_invoice_files(spark, files, store, quarantine, batch_id):
     Rows the table's rules refuse (no litres, no amount) go to quarantine, as does every row of
     a file with findings; a file without rows leaves its finding there.
     """
-    # the listing, used for the headers and for files without rows: the source is read once
+    # the listing, used for the paths and for files without rows: the source is listed once
     files = files.persist()
-    raw = invoice_files.read_files(spark, files)
-    if raw is None:
+    # as many as the job's batches have files at most
+    paths = [r[0] for r in files.select("path").collect()]
+    if not paths:
         files.unpersist()
         return
+    raw = invoice_files.read_files(spark, paths)
     report = invoice_intake.validation_report(raw, by=["SourceFile"])
     findings = report.where(~F.col("is_valid")).select("SourceFile", "errors")
     marked = raw.join(findings, "SourceFile", "left").persist()
@@ -143,6 +145,51 @@ def archive(frame, path, checkpoint, interval=None):
     )
 
 
+def _published(spark, folder, batch_id):
+    """(file system, staging folder, final folder, whether the batch is there) of a batch's folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    staging = hadoop.Path(f"{folder}/_staging/{batch_id}")
+    final = hadoop.Path(f"{folder}/batch_id={batch_id}")
+    system = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system, staging, final, system.exists(final)
+
+
+def _swap_in(system, staging, final):
+    if not system.rename(staging, final):
+        raise RuntimeError(f"{final} could not be published")
+
+
+def fan_out(frame, root, first, others, checkpoint, interval=None):
+    """One stream to several append-only outputs: the source is read and parsed once a batch.
+
+    ``frame`` goes to ``root/first``; ``others`` {name: function} derive theirs from the rows just written
+    there. A batch is one folder in each output, renamed into place when it is complete, the first
+    output's last. So readers see whole batches, and a batch that is repeated leaves what is published as
+    it is.
+    """
+
+    def write(batch, batch_id):
+        spark = batch.sparkSession
+        system, staging, final, there = _published(spark, f"{root}/{first}", batch_id)
+        if there:
+            return
+        batch.write.mode("overwrite").parquet(staging.toString())
+        rows = spark.read.schema(batch.schema).parquet(staging.toString())
+        for name, derive in others.items():
+            files, own, target, done = _published(spark, f"{root}/{name}", batch_id)
+            if not done:
+                derive(rows).write.mode("overwrite").parquet(own.toString())
+                _swap_in(files, own, target)
+        _swap_in(system, staging, final)
+
+    return (
+        frame.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger_options(interval))
+        .start()
+    )
+
+
 def publish(frame, checkpoint, servers, topic, key=None, interval=None):
     """Append-mode output to a topic as JSON; needs the Kafka connector on the class path."""
     value = F.to_json(F.struct("*")).alias("value")

@@ -1,4 +1,8 @@
-"""The derived outputs of the cleaned trip stream, one streaming query each."""
+"""The derived outputs of the cleaned trip stream.
+
+One query reads the messages: it writes the cleaned trips and the outputs that follow from single rows.
+The windowed outputs are queries over the cleaned trips, so messages are parsed once for all.
+"""
 
 from dataclasses import dataclass
 
@@ -47,32 +51,56 @@ OUTPUTS = {
 }
 
 
-def start(name, messages, path, checkpoint, lateness=DEFAULT_LATENESS, interval=None):
-    """Start one output over a stream of parsed messages."""
+CLEAN = "telematics_clean"
+
+
+def start_rows(messages, root, checkpoint, interval=None):
+    """Start the query that writes the cleaned trips and all outputs without windows."""
+    others = {n: o.build for n, o in OUTPUTS.items() if not o.windowed and n != CLEAN}
+    return jobs.fan_out(telemetry.clean(messages), root, CLEAN, others, checkpoint, interval)
+
+
+def clean_stream(messages, root):
+    """The cleaned trips below ``root`` as a stream."""
+    spark = messages.sparkSession
+    fields = telemetry.clean(messages).schema
+    # the folder has to be there before its first batch
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{CLEAN}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    return spark.readStream.schema(fields).parquet(f"{root}/{CLEAN}").select(*fields.names)
+
+
+def start_windows(name, trips, path, checkpoint, lateness=DEFAULT_LATENESS, interval=None):
+    """Start one windowed output over a stream of cleaned trips."""
     output = OUTPUTS[name]
-    trips = telemetry.clean(messages)
-    frame = output.build(trips, lateness) if output.windowed else output.build(trips)
+    frame = output.build(trips, lateness)
     if output.totals:
         return jobs.serve_totals(
             frame, output.totals, path, list(output.keys), output.start, checkpoint, interval
         )
-    if output.keys:
-        return jobs.serve(frame, path, list(output.keys), checkpoint, interval)
-    return jobs.archive(frame, path, checkpoint, interval)
+    return jobs.serve(frame, path, list(output.keys), checkpoint, interval)
 
 
-def read(spark, name, path):
-    """What an output has written so far."""
-    if not OUTPUTS[name].keys:
-        return spark.read.parquet(path)
-    return serving.read(spark, path).drop("window_date")
+def start_all(messages, root, checkpoints, lateness=DEFAULT_LATENESS, interval=None, names=None):
+    """Start every output (or the windowed ones in ``names``); returns {name: query}.
 
+    Each query keeps its own progress, so one can fail or restart alone. Without an interval what is there
+    is cleaned first, and then read by the windows.
+    """
+    queries = {CLEAN: start_rows(messages, root, f"{checkpoints}/{CLEAN}", interval)}
+    if interval is None:
+        jobs.finish(queries[CLEAN])
+    trips = clean_stream(messages, root)
+    for name, output in OUTPUTS.items():
+        if output.windowed and (names is None or name in names):
+            queries[name] = start_windows(
+                name, trips, f"{root}/{name}", f"{checkpoints}/{name}", lateness, interval
+            )
+    return queries
 
-def start_all(messages, root, checkpoints, lateness=DEFAULT_LATENESS, interval=None):
-    """Start every output; each keeps its own progress, so one can fail or restart alone."""
-    return {
-        name: start(
-            name, messages, f"{root}/{name}", f"{checkpoints}/{name}", lateness, interval
-        )
-        for name in OUTPUTS
-    }
+
+def read(spark, name, path):
+    """What an output has written so far."""
+    if OUTPUTS[name].windowed:
+        return serving.read(spark, path).drop("window_date")
+    return spark.read.parquet(path).drop("batch_id")

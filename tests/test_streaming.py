@@ -77,8 +77,9 @@ def test_windows_that_count_vehicles_are_served_while_open(spark, sf):
         path = scratch_path(spark, name)
         # with a lateness longer than the data no window ever closes
         job = jobs.finish(
-            outputs.start(
-                name, src.parsed_messages(stream), path, scratch_path(spark, "progress"), "40 days"
+            outputs.start_windows(
+                name, telemetry.clean(src.parsed_messages(stream)), path,
+                scratch_path(spark, "progress"), "40 days",
             )
         )
         assert sum(1 for p in job.recentProgress if p["numInputRows"]) > 1
@@ -144,8 +145,8 @@ def test_a_batch_that_was_cut_off_loses_nothing(spark, sf, monkeypatch, name, at
     path, progress = scratch_path(spark, name), scratch_path(spark, "progress")
 
     def run():
-        parsed = src.parsed_messages(stream)
-        jobs.finish(outputs.start(name, parsed, path, progress, "40 days"))
+        trips = telemetry.clean(src.parsed_messages(stream))
+        jobs.finish(outputs.start_windows(name, trips, path, progress, "40 days"))
 
     with monkeypatch.context() as patched:
         cut_off(patched, at, 2)
@@ -321,10 +322,51 @@ def test_sources_without_their_connector_fail_clearly(spark):
         assert "kafka" in str(error).lower()
 
 
-def test_all_outputs_together(spark, sf):
+def test_all_outputs_from_one_parse(spark, sf):
     parsed = src.parsed_messages(src.event_stream(spark, sf))
     root, progress = scratch_path(spark, "outputs"), scratch_path(spark, "progress")
-    for query in outputs.start_all(parsed, root, progress).values():
+    queries = outputs.start_all(parsed, root, progress)
+    for query in queries.values():
         jobs.finish(query)
-    for name in outputs.OUTPUTS:
+    events = src.table(spark, sf, "events").count()
+    read = {}
+    for name, query in queries.items():
+        for report in query.recentProgress:
+            for source in report["sources"]:
+                read.setdefault(source["description"], {}).setdefault(name, 0)
+                read[source["description"]][name] += source["numInputRows"]
+    raw = {n: k for d, n_ in read.items() if outputs.CLEAN not in d for n, k in n_.items()}
+    assert raw == {outputs.CLEAN: events}
+    # the other queries read the cleaned trips
+    assert set(queries) - {outputs.CLEAN} == {n for d, n_ in read.items() if outputs.CLEAN in d for n in n_}
+    trips = telemetry.clean(src.telematics(spark, sf))
+    assert rows(outputs.read(spark, outputs.CLEAN, f"{root}/{outputs.CLEAN}")) == rows(trips)
+    for name, output in outputs.OUTPUTS.items():
         assert not outputs.read(spark, name, f"{root}/{name}").isEmpty(), name
+        if not output.windowed and name != outputs.CLEAN:
+            assert rows(outputs.read(spark, name, f"{root}/{name}")) == rows(output.build(trips))
+
+
+@pytest.mark.parametrize("call", [1, 2, 4])
+def test_a_fan_out_that_was_cut_off_repeats_nothing(spark, sf, monkeypatch, call):
+    parsed = src.parsed_messages(src.event_stream(spark, sf))
+    root, progress = scratch_path(spark, "outputs"), scratch_path(spark, "progress")
+    whole, calls = jobs._swap_in, []
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) == call:
+            raise RuntimeError("cut off")
+        whole(*args)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs, "_swap_in", broken)
+        with pytest.raises(StreamingQueryException):
+            jobs.finish(outputs.start_rows(parsed, root, progress))
+    jobs.finish(outputs.start_rows(parsed, root, progress))
+    # and once more from the start, as when the progress was lost
+    jobs.finish(outputs.start_rows(parsed, root, scratch_path(spark, "progress")))
+    trips = telemetry.clean(src.telematics(spark, sf))
+    for name, output in outputs.OUTPUTS.items():
+        if not output.windowed:
+            assert rows(outputs.read(spark, name, f"{root}/{name}")) == rows(output.build(trips)), name
