@@ -94,9 +94,9 @@ def check_violations(df, spec):
 
 
 def check_reasons(df, spec, key=(), taken=None):
-    """The rows with the names of the CHECKs they break, and ``primary_key`` where several rows
-    have the ``key`` or ``taken`` (stored rows) has it."""
-    broken = {name: F.expr(sql) for name, sql in spec.checks.items()}
+    """The rows with the names of the rules they break (NOT NULL, CHECK), and ``primary_key`` where
+    several rows have the ``key`` or ``taken`` (stored rows) has it."""
+    broken = rules(spec)
     key = list(key)
     if not key:
         return pinned(df.withColumn(REASONS, reasons(broken)))

@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import planar_km
@@ -266,19 +267,30 @@ DROP_COLUMNS = LAYOUTS[0][2]
 
 def write_drops(spark, sf):
     """Write every delivered drop (a bounded number of vehicles) as one file, in one of three
-    layouts; returns the folder."""
+    layouts, in one pass; returns the folder."""
     folder = scratch_path(spark, "drop")
-    rows = delivered(spark, sf)
-    for i, (name, separator, header) in enumerate(LAYOUTS):
-        part = rows.where(F.col("SourceDrop") % 3 == i).select("SourceDrop", *DROP_COLUMNS)
-        (
-            part.toDF("SourceDrop", *header)
-            .repartition("SourceDrop")
-            .write.partitionBy("SourceDrop")
-            .option("header", "true")
-            .option("sep", separator)
-            .csv(f"{folder}/{name}")
+    number = F.col("SourceDrop") % 3
+    by_layout = lambda values: F.element_at(
+        F.array(*map(F.lit, values)), number.cast("int") + 1
+    )
+    separator = by_layout([x[1] for x in LAYOUTS])
+    fields = F.transform(
+        F.array(*[F.col(c).cast("string") for c in DROP_COLUMNS]), lambda x: F.coalesce(x, F.lit(""))
+    )
+    header = by_layout([x[1].join(x[2]) for x in LAYOUTS])
+    line = F.call_function("array_join", fields, separator)
+    first = F.row_number().over(Window.partitionBy("SourceDrop").orderBy("VIN", "InvoiceDate")) == 1
+    rows = delivered(spark, sf).select("SourceDrop", *DROP_COLUMNS, first.alias("first"))
+    both = F.when(F.col("first"), F.array(header, line)).otherwise(F.array(line))
+    (
+        rows.select(
+            by_layout([x[0] for x in LAYOUTS]).alias("layout"), "SourceDrop", "first",
+            F.posexplode(both).alias("place", "value"),
         )
+        .sortWithinPartitions("layout", "SourceDrop", F.desc("first"), "place")
+        .select("layout", "SourceDrop", "value")
+        .write.partitionBy("layout", "SourceDrop").text(folder)
+    )
     return folder
 
 
@@ -287,7 +299,7 @@ def file_drop(path):
 
 
 def file_layout(path):
-    return F.element_at(F.split(path, "/"), -3).alias("layout")
+    return F.regexp_extract(path, r"layout=(\w+)/", 1).alias("layout")
 
 
 LAYOUT_SQL = """CASE SourceDrop % 3 WHEN 0 THEN 'comma' WHEN 1 THEN 'semicolon' ELSE 'tab' END AS layout"""
@@ -312,8 +324,7 @@ def src_file_discovery(spark, sf):
 )
 def csv_header_aliases(spark, sf):
     """Files with three delimiters and three sets of headers as one frame."""
-    files = invoice_files.list_files(spark, write_drops(spark, sf))
-    rows = invoice_files.read_files(spark, files)
+    rows = invoice_files.read_files(spark, write_drops(spark, sf))
     return rows.select(
         file_layout("SourceFile"),
         file_drop("SourceFile"),
@@ -338,9 +349,8 @@ def csv_header_aliases(spark, sf):
 )
 def fuel_metadata(spark, sf):
     """The full invoice row with source file, source name and processing time."""
-    files = invoice_files.list_files(spark, write_drops(spark, sf))
     rows = invoice_intake.transform(
-        invoice_files.read_files(spark, files), F.current_timestamp()
+        invoice_files.read_files(spark, write_drops(spark, sf)), F.current_timestamp()
     )
     return rows.select(
         file_layout("SourceFile"),
@@ -536,6 +546,8 @@ def check_constraints(spark, sf):
 @query(
     "store_refused_rows",
     """SELECT reject_reasons, count(*) AS rows FROM (SELECT concat_ws(',',
+              CASE WHEN VIN IS NULL THEN 'not_null_VIN' END, CASE WHEN Litres IS NULL THEN 'not_null_Litres' END,
+              CASE WHEN EUR_Amount IS NULL THEN 'not_null_EUR_Amount' END,
               CASE WHEN Litres IS NULL OR NOT Litres > 0 THEN 'chk_positive_litres' END,
               CASE WHEN EUR_Amount IS NULL OR NOT EUR_Amount > 0 THEN 'chk_positive_amount' END) AS reject_reasons
             FROM raw_invoices) GROUP BY ALL""",
@@ -554,6 +566,34 @@ def store_refused_rows(spark, sf):
     return found.groupBy(REASONS).agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "store_not_null",
+    """SELECT reject_reasons, CAST(count(*) AS BIGINT) AS rows FROM (
+         SELECT concat_ws(',', CASE WHEN l_partkey % 11 = 0 THEN 'not_null_VIN' END,
+           CASE WHEN l_suppkey % 13 = 0 THEN 'not_null_StartTimeUTC' END,
+           CASE WHEN l_suppkey % 13 = 0 THEN 'chk_trip_duration' END) AS reject_reasons FROM (
+           SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS copy FROM lineitem)
+         WHERE copy = 1) GROUP BY ALL""",
+)
+def store_not_null(spark, sf):
+    """Trips without vehicle or start, upserted: what the table keeps, and what it refused and why."""
+    spec = replace(TRIP_FACTS, partition_by=())
+    store = TableStore(spark, scratch_path(spark, "trips"), {spec.name: spec})
+    part, supplier = (F.split("TripID", "-")[i].cast("bigint") for i in (2, 3))
+    rows = src.trips(spark, sf)
+    rows = rows.withColumns({
+        "VIN": F.when(part % 11 != 0, F.col("VIN")),
+        **{c: F.col(c).cast("timestamp") for c in ("EndTimeUTC",)},
+        "StartTimeUTC": F.when(supplier % 13 != 0, F.col("StartTimeUTC").cast("timestamp")),
+    })
+    store.upsert(rows, spec.name)
+    found = store.read(spec.name).select(F.lit("").alias(REASONS))
+    refused = store.refused(spec.name)
+    if refused is not None:
+        found = found.unionByName(refused.select(F.concat_ws(",", REASONS).alias(REASONS)))
+    return found.groupBy(REASONS).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query(
     "pk_violations",
     """SELECT concat('T', CAST(l_orderkey AS VARCHAR), '-', CAST(l_linenumber AS VARCHAR)) AS TripID, count(*) AS copies

@@ -1,13 +1,20 @@
-"""Invoice files with differing delimiters and headers."""
+"""Invoice files with differing delimiters and headers.
 
-import re
-from urllib.parse import quote
+All files are one scan of lines. A file's header is its first line that is not blank, found by aggregation;
+what its names mean is worked out on the small table of headers, one row a file, and joined back to the
+lines. Lines are split by Spark's CSV parser under their file's delimiter, and columns taken by position.
+No Python runs on the executors, and the driver sees neither headers nor contents.
+
+A line that repeats its file's header is a header wherever it stands. A line longer than ``LONGEST_LINE``
+bytes is skipped by the reader, so a file that is one endless line fills no worker and counts as empty.
+"""
+
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schemas import INVOICE_DROP_COLUMNS, struct
+from ..session import materialized
 
 EXTENSIONS = "*.{csv,tsv,txt}"
 
@@ -36,7 +43,7 @@ PRESENT = "columns_present"
 SOURCE_FILE = "_metadata.file_path AS SourceFile"
 
 FILE_SCHEMA = struct("path string, modificationTime timestamp, length bigint, content binary")
-HEAD_SCHEMA = "path string, header string"
+LONGEST_LINE = 16 << 20
 
 
 def list_files(spark, folder):
@@ -63,102 +70,108 @@ def stream_files(spark, folder, max_files=None):
     return reader.load(folder).selectExpr("path", "length", SOURCE_FILE)
 
 
-def headers(files):
-    """First line of every file, read by the executors from the head of each file only.
+def lines(spark, source):
+    """value, SourceFile, FileTime and place of all lines below a folder, or of a list of paths.
 
-    The task code is nested so that it travels with the job; executors need not have the package.
+    ``place`` orders the lines of a file's first block.
     """
-
-    def first_line(path):
-        from pyarrow import fs
-
-        local = re.match(r"^file:/*(/.*)$", path)
-        if local:
-            system, inner = fs.LocalFileSystem(), local.group(1)
-        else:
-            system, inner = fs.FileSystem.from_uri(
-                re.sub(r"^s3[an]:", "s3:", quote(path, safe=":/"))
-            )
-        data = b""
-        with system.open_input_stream(inner) as stream:
-            while b"\n" not in data:
-                block = stream.read(4096)
-                if not block:
-                    break
-                data += block
-        return data.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-
-    def first_lines(batches):
-        for batch in batches:
-            yield pd.DataFrame(
-                {"path": batch["path"], "header": [first_line(p) for p in batch["path"]]}
-            )
-
-    return files.select("path").repartition("path").mapInPandas(first_lines, HEAD_SCHEMA)
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", EXTENSIONS)
+        .option("mapreduce.input.linerecordreader.line.maxlength", LONGEST_LINE)
+        .text(source)
+        .selectExpr(
+            "rtrim('\r', value) AS value", SOURCE_FILE,
+            "_metadata.file_modification_time AS FileTime",
+            "_metadata.file_block_start = 0 AS first_block",
+            "monotonically_increasing_id() AS place",
+        )
+        .where("trim(value) <> ''")
+    )
 
 
 def delimiter(header):
-    return next((c for c in "\t;" if c in header), ",")
+    """Tab or semicolon where the header has one, else comma."""
+    return F.when(header.contains("\t"), "\t").when(header.contains(";"), ";").otherwise(",")
 
 
-def canonical_names(names):
-    """Column name per header, None for headers without a meaning here.
+def canonical(names):
+    """Per column that the headers ``names`` (an array) have, its position from 1, else null.
 
     A header that is a column's own name wins; otherwise the first header a rule matches does.
     """
-    plain = [n.strip().strip('"').lower() for n in names]
-    own = {c.lower(): c for c in INVOICE_DROP_COLUMNS}
-    result = [own.get(n) for n in plain]
-    taken = {c for c in result if c}
-    for i, name in enumerate(plain):
-        if result[i] or name in COMPUTED:
-            continue
+    plain = F.transform(names, lambda n: F.lower(F.trim(F.regexp_replace(F.trim(n), '^"+|"+$', ""))))
+    own = [c.lower() for c in INVOICE_DROP_COLUMNS]
+
+    def has(name, group):
+        return reduce(lambda a, b: a | b, [name.contains(word) for word in group])
+
+    def rule(name):
+        found = F.when(name.isin(*own, *COMPUTED), F.lit(None).cast("string"))
         for column, groups in ALIASES:
-            if all(any(word in name for word in group) for group in groups):
-                if column not in taken:
-                    result[i] = column
-                    taken.add(column)
-                break
-    return result
+            found = found.when(reduce(lambda a, b: a & b, [has(name, g) for g in groups]), column)
+        return found
+
+    by_rule = F.transform(plain, rule)
+    return {
+        c: F.nullif(F.coalesce(
+            F.nullif(F.array_position(plain, c.lower()), F.lit(0)), F.array_position(by_rule, c)
+        ), F.lit(0)).cast("int")
+        for c in INVOICE_DROP_COLUMNS
+    }
+
+
+def headers(found):
+    """One row a file: SourceFile, header, separator, width, and the position of every column."""
+    first = found.where("first_block").groupBy("SourceFile").agg(
+        F.min_by("value", "place").alias("header")
+    )
+    bare = F.regexp_replace("header", "^\ufeff", "")
+    split = first.withColumn("separator", delimiter(F.col("header"))).withColumn(
+        "names", F.split(bare, F.col("separator"))
+    )
+    return split.select(
+        "SourceFile", "header", "separator", F.size("names").alias("width"),
+        F.struct(*[p.alias(c) for c, p in canonical(F.col("names")).items()]).alias("at"),
+    )
 
 
-def read_files(spark, files):
-    """All listed files as one frame of text columns with ``SourceFile`` and ``FileTime``.
+def read_files(spark, source):
+    """All files of ``source`` (a folder, or a list of paths) as one frame of text columns with
+    ``SourceFile`` and ``FileTime``.
 
     ``columns_present`` names the columns that a row's own file has, so that nothing later depends
     on which files are read together.
-    Files are grouped by header line; each group is one scan with an explicit schema. The driver
-    holds one path per file, as Spark's own file index does, and never file contents.
     """
-    groups = {}
-    for row in headers(files).toLocalIterator():
-        groups.setdefault(row["header"], []).append(row["path"])
-    frames = []
-    for header, paths in sorted(groups.items()):
-        separator = delimiter(header)
-        raw = header.split(separator)
-        names = canonical_names(raw)
-        positions = T.StructType(
-            [T.StructField(f"c{i}", T.StringType()) for i in range(len(raw))]
-        )
-        frame = (
-            spark.read.schema(positions)
-            .option("header", "true")
-            .option("sep", separator)
-            .option("encoding", "UTF-8")
-            .option("ignoreLeadingWhiteSpace", "true")
-            .option("ignoreTrailingWhiteSpace", "true")
-            .csv(paths)
-        )
-        frames.append(
-            frame.select(
-                *[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n],
-                F.array(*[F.lit(n) for n in names if n]).cast("array<string>").alias(PRESENT),
-                F.expr(SOURCE_FILE),
-                F.col("_metadata.file_modification_time").alias("FileTime"),
-            )
-        )
-    return union_missing(frames) if frames else None
+    found = lines(spark, source)
+    known = materialized(headers(found))
+    # one number: how many fields the parser has to tell apart
+    width = known.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]
+    fields = ", ".join(f"c{i} string" for i in range(width))
+
+    def parsed(separator):
+        options = {
+            "sep": separator, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true",
+            "maxColumns": str(max(20480, width)),
+        }
+        row = F.from_csv("value", fields, options)
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    values = (
+        F.when(F.col("separator") == "\t", parsed("\t"))
+        .when(F.col("separator") == ";", parsed(";"))
+        .otherwise(parsed(","))
+    )
+    rows = found.join(known, "SourceFile").where("value <> header").select(
+        "SourceFile", "FileTime", "at", F.explode(F.array(values)).alias("fields")
+    )
+    return rows.select(
+        *[F.get("fields", F.col("at")[c] - 1).alias(c) for c in INVOICE_DROP_COLUMNS],
+        F.array_compact(F.array(*[
+            F.when(F.col("at")[c].isNotNull(), F.lit(c)) for c in INVOICE_DROP_COLUMNS
+        ])).alias(PRESENT),
+        "SourceFile", "FileTime",
+    )
 
 
 def without_rows(files, raw):
@@ -166,13 +179,6 @@ def without_rows(files, raw):
     return files.select("SourceFile").join(raw.select("SourceFile"), "SourceFile", "left_anti")
 
 
-def union_missing(frames):
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
-    return out
-
-
 def read_table_csv(spark, path, schema):
     """A CSV with known columns: no inference, fixed date and time formats."""
     return spark.read.schema(schema).options(**CSV_FORMATS).csv(path)

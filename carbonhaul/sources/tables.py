@@ -25,6 +25,15 @@ def stored(spark, path, schema):
     return spark.read.schema(schema).parquet(path) if system.exists(folder) else None
 
 
+def _observed(counter, name):
+    """A number counted by a pass that has ended."""
+    try:
+        return counter.get[name]
+    except Py4JJavaError:
+        # a plan known to have no rows is reduced to nothing, and its counter with it
+        return 0
+
+
 def _among(column, values):
     """Rows whose value is one of ``values``, of which one may be None."""
     known = F.col(column).isin([v for v in values if v is not None])
@@ -37,8 +46,8 @@ class TableStore:
     For catalogs with row-level operations use ``operators.merge.merge_catalog_table`` instead of
     :meth:`upsert`; that also makes concurrent writers safe. This class allows one writer.
 
-    Rows that break a CHECK or the primary key are not written; :meth:`refused` has them. NOT NULL
-    is applied by :meth:`admit`. A rewrite is staged beside the tables and then published. A
+    Rows that break NOT NULL, a CHECK or the primary key are not written; :meth:`refused` has them. They
+    are counted in the pass that writes the others, so a batch without any is computed once. A rewrite is staged beside the tables and then published. A
     publication that was cut off is completed from the staged rows by the next write or by
     :meth:`recover`; until then readers may miss rows of the partitions concerned.
     """
@@ -67,11 +76,7 @@ class TableStore:
         if spec.partition_by:
             writer = writer.partitionBy(*spec.partition_by)
         writer.parquet(self.path(name))
-        try:
-            return counter.get["rows"]
-        except Py4JJavaError:
-            # a plan known to have no rows is reduced to nothing, and its counter with it
-            return 0
+        return _observed(counter, "rows")
 
     def admit(self, df, name):
         """(accepted, quarantined) rows under the table's declared rules."""
@@ -88,16 +93,23 @@ class TableStore:
             [f.name for f in fields if f.name not in WRITE_TIMES]
         )
 
-    def _accepted(self, df, name, key=(), taken=None):
-        """The rows that may be written, in table form; the others go to :meth:`refused`."""
+    def _checked(self, df, name, key=(), taken=None):
+        """(rows that may be written, function to call when they were written, which puts the others
+        to :meth:`refused`)."""
         spec = self.specs[name]
         rows = conform(df, spec)
-        if not spec.checks and not key:
-            return rows
-        accepted, refused = split(check_reasons(rows, spec, key, taken))
-        if not refused.isEmpty():
-            refused.write.mode("append").parquet(f"{self.root}/_refused/{name}")
-        return accepted
+        counter = Observation()
+        tagged = check_reasons(rows, spec, key, taken)
+        _, refused = split(tagged)
+        counted, _ = split(
+            tagged.observe(counter, F.count_if(F.size(REASONS) > 0).alias("refused"))
+        )
+
+        def keep_refused():
+            if _observed(counter, "refused"):
+                refused.write.mode("append").parquet(f"{self.root}/_refused/{name}")
+
+        return (counted, keep_refused) if spec.required or spec.checks or key else (rows, lambda: None)
 
     def _staging(self, name):
         return f"{self.root}/_staging/{name}"
@@ -128,14 +140,23 @@ class TableStore:
     def overwrite(self, df, name):
         """Replace the partitions present in ``df`` (the whole table if it has none)."""
         self.recover(name)
-        return self._write(self._accepted(df, name, self.specs[name].primary_key), name, "overwrite")
+        rows, keep_refused = self._checked(df, name, self.specs[name].primary_key)
+        written = self._write(rows, name, "overwrite")
+        keep_refused()
+        return written
 
     def append(self, df, name):
         """Add rows; one whose primary key the table has already is refused."""
         self.recover(name)
         key = self.specs[name].primary_key
         taken = self.read(name) if key and self.exists(name) else None
-        return self._write(self._accepted(df, name, key, taken), name, "append")
+        if taken is not None:
+            # the table changes below: what is refused must not depend on what was just written
+            taken = materialized(taken.select(*key))
+        rows, keep_refused = self._checked(df, name, key, taken)
+        written = self._write(rows, name, "append")
+        keep_refused()
+        return written
 
     def upsert(self, df, name, order_by=(), distinct=False):
         """Update rows with equal merge keys, insert the others.
@@ -149,7 +170,7 @@ class TableStore:
         self.recover(name)
         spec = self.specs[name]
         keys = list(spec.merge_keys)
-        source = self._accepted(df, name)
+        source, keep_refused = self._checked(df, name)
         order = tuple(order_by) or spec.order_by
         if order:
             # rows that are equal in it are told apart by what they hold, not by when they came
@@ -157,9 +178,12 @@ class TableStore:
         if not distinct:
             source = latest_per_key(source, keys, order or keys)
         if not self.exists(name):
-            return self._write(source, name, "overwrite")
+            written = self._write(source, name, "overwrite")
+            keep_refused()
+            return written
         # the table changes below: what depends on it is settled first, also for lost executors
         source, target = materialized(source), self.read(name)
+        keep_refused()
         if order:
             held = target.join(source.select(*keys), keys, "left_semi").select(*source.columns)
             source = materialized(latest_per_key(held.unionByName(source), keys, order))

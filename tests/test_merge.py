@@ -1,12 +1,15 @@
 """Upserts against a dictionary model, and the table store."""
 
 import datetime as dt
+from dataclasses import replace
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carbonhaul.operators.merge import latest_per_key, merge
+from carbonhaul.schemas import FUEL_INVOICES
 from carbonhaul.session import scratch_path
 from carbonhaul.sources import tables
 from carbonhaul.sources.tables import TableStore, trips_between
@@ -87,7 +90,10 @@ def test_store_upsert_moves_and_replays(spark):
 
 
 def test_store_keeps_rows_without_partition_value(spark):
-    store = TableStore(spark, scratch_path(spark, "store"))
+    fields = [T.StructField(f.name, f.dataType, f.nullable or f.name == "InvoiceMonth")
+              for f in FUEL_INVOICES.schema]
+    undated_table = replace(FUEL_INVOICES, schema=T.StructType(fields))
+    store = TableStore(spark, scratch_path(spark, "store"), {FUEL_INVOICES.name: undated_table})
 
     def undated(vin, litres):
         return spark.createDataFrame(
