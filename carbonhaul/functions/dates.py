@@ -35,14 +35,23 @@ def calendar(spark, first, last):
 
 
 def calendar_of(facts, day, first, last):
-    """The calendar from ``first`` to ``last``, widened to the whole years of the facts' days."""
-    ends = facts.agg(F.min(day).alias("low"), F.max(day).alias("high")).select(
-        F.least(F.lit(first).cast("date"), year_start("low")).alias("first"),
-        F.greatest(
-            F.lit(last).cast("date"), F.make_date(F.year("high"), F.lit(12), F.lit(31))
-        ).alias("last"),
+    """The calendar from ``first`` to ``last``, and the whole other years in which facts have a day.
+
+    Years without facts beyond it are left out, so a stray year adds 366 rows.
+    """
+    fixed = calendar_years(facts.sparkSession, first, last)
+    found = facts.where(F.col(day).isNotNull()).select(F.year(day).alias("year")).distinct()
+    return _days(
+        fixed.unionByName(found).distinct().select(
+            F.make_date("year", F.lit(1), F.lit(1)).alias("first"),
+            F.make_date("year", F.lit(12), F.lit(31)).alias("last"),
+        )
     )
-    return _days(ends)
+
+
+def calendar_years(spark, first, last):
+    """The years of a fixed calendar of whole years."""
+    return spark.range(int(first[:4]), int(last[:4]) + 1).select(F.col("id").cast("int").alias("year"))
 
 
 def _days(ends):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CALENDAR_FIRST, CALENDAR_LAST
 from ..functions import display
-from ..functions.dates import calendar, calendar_of, month_start, quarter_start
+from ..functions.dates import calendar_of, month_start, quarter_start
 from ..functions.ratios import co2_t
 from ..operators import ordering
 from ..plans import measures as M
@@ -35,9 +35,7 @@ def join_trips_date(spark, sf):
         F.count(F.lit(1)).alias("trips"), F.sum("Distance_km").alias("km")
     )
     return (
-        daily.join(
-            F.broadcast(dates(trips, "TripDate")), F.col("TripDate") == F.col("Date"), "left"
-        )
+        daily.join(dates(trips, "TripDate"), F.col("TripDate") == F.col("Date"), "left")
         .groupBy("Year", "Quarter", "MonthName", "DayOfWeek")
         .agg(F.sum("trips").alias("trips"), F.sum("km").alias("km"))
     )
@@ -45,16 +43,14 @@ def join_trips_date(spark, sf):
 
 @query(
     "join_price_date",
-    """SELECT "Year", "Quarter", "MonthName", PriceMonth, EUR_per_t, PriceSource
-       FROM price_curve JOIN calendar ON PriceMonth = "Date" """,
+    """SELECT year(PriceMonth) AS "Year", concat('Q', CAST(quarter(PriceMonth) AS VARCHAR)) AS "Quarter",
+              monthname(PriceMonth) AS "MonthName", PriceMonth, EUR_per_t, PriceSource FROM price_curve""",
 )
 def join_price_date(spark, sf):
-    """Months inside the fixed calendar only, as the SQL has it."""
-    fixed = F.broadcast(calendar(spark, CALENDAR_FIRST, CALENDAR_LAST))
-    return (
-        src.price_curve(spark, sf)
-        .join(fixed, F.col("PriceMonth") == F.col("Date"))
-        .select("Year", "Quarter", "MonthName", "PriceMonth", "EUR_per_t", "PriceSource")
+    """Every price month with its calendar columns, months beyond the fixed calendar too."""
+    prices = src.price_curve(spark, sf)
+    return prices.join(dates(prices, "PriceMonth"), F.col("PriceMonth") == F.col("Date")).select(
+        "Year", "Quarter", "MonthName", "PriceMonth", "EUR_per_t", "PriceSource"
     )
 
 
