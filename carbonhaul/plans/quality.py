@@ -1,5 +1,7 @@
 """Checks over loaded tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.ratios import co2_kg, divide
@@ -56,13 +58,21 @@ def co2_accuracy(trips, tolerance=1e-9):
     return both.withColumn("accurate", gap <= tolerance * F.abs(F.col("by_total_kg")))
 
 
-def orphans(left, right, keys, label):
-    """Distinct keys of ``left`` that ``right`` does not have."""
-    return (
-        left.select(*keys).distinct()
-        .join(right.select(*keys).distinct(), list(keys), "left_anti")
-        .select(F.lit(label).alias("missing_in"), *keys)
+def orphans(left, right, keys, labels):
+    """Distinct keys that one side alone has: (missing_in, keys), from one aggregation over both.
+
+    ``labels`` name the side that a key of the left, and of the right, is missing in. NULL equals nothing.
+    """
+    sides = left.select(*keys, F.lit(0).alias("_side")).unionByName(
+        right.select(*keys, F.lit(1).alias("_side"))
     )
+    found = sides.groupBy(*keys).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high"))
+    unlike = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    alone = (F.col("_low") == F.col("_high")) | unlike
+    missing = F.array_compact(F.array(
+        F.when(alone & (F.col("_low") == 0), labels[0]), F.when(alone & (F.col("_high") == 1), labels[1])
+    ))
+    return found.select(F.explode(missing).alias("missing_in"), *keys)
 
 
 def fuel_reconciliation(consumed, invoiced, tolerance=0.05):

@@ -145,9 +145,7 @@ def dq_orphan_vins(spark, sf):
         .select("VIN", month_start(F.to_date("InvoiceDate")).alias("InvoiceMonth"))
     )
     keys = ["VIN", "InvoiceMonth"]
-    return quality.orphans(trips, valid, keys, "invoices").unionByName(
-        quality.orphans(valid, trips, keys, "trips")
-    )
+    return quality.orphans(trips, valid, keys, ("invoices", "trips"))
 
 
 @query(
