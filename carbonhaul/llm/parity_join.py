@@ -49,8 +49,8 @@ BITS = 8
 CHUNK = 1024
 #: partners that one copy of a document's text is compared with
 COMPARED = 256
-#: words whose hashes a worker keeps
-KEPT_WORDS = 400_000
+#: words whose hashes a task keeps
+KEPT_WORDS = 60_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
 SMALL_IDS = 500_000
 
@@ -101,12 +101,6 @@ class Shingles:
         return np.unique(mixed(total))
 
 
-@lru_cache(maxsize=4)
-def shingles(n):
-    """One store of word hashes per worker process and size of n-gram."""
-    return Shingles(n)
-
-
 @lru_cache(maxsize=8)
 def bands(percent):
     """Start of every size band, and (largest partner, differing elements) of each."""
@@ -181,7 +175,8 @@ def sketched(docs, ngram, percent):
         import pyarrow as pa
         import xxhash
 
-        of, seen, nothing = shingles(ngram).of, set(), ([], None, None, None)
+        # of this task: a worker process that goes on to other work holds nothing
+        of, seen, nothing = Shingles(ngram).of, set(), ([], None, None, None)
         types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             rows = []
@@ -252,7 +247,7 @@ def links(pairs, docs, ngram, percent):
     def compare(batches):
         import pyarrow as pa
 
-        of, group, led = shingles(ngram).of, None, []
+        of, group, led = Shingles(ngram).of, None, []
         for batch in batches:
             linked = []
             for a, share, b, text in zip(*(c.to_pylist() for c in batch.columns)):

@@ -47,7 +47,7 @@ PURITY = 0.5
 #: lengths of the first letters (bytes) that are features beside whole words
 STARTS = (4, 5, 6)
 #: features a task counts before it hands them on
-HELD = 300_000
+HELD = 100_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
 SMALL_IDS = 500_000
 
