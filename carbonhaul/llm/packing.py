@@ -27,6 +27,7 @@ sequences; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import zlib
 
 import numpy as np
 from pyspark import TaskContext
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import staged, table
-from .tokens import pieces
+from .tokens import PIECES, pieces
 
 CAPACITY = 2048
 #: lengths of at most this part of the capacity are small, by plan
@@ -241,25 +242,35 @@ class Places:
         return self.sequence[at] + ranks - self.start[at], self.offset[at]
 
 
-def _numbered(df):
-    """Number the rows of equal length within each task."""
-    out = T.StructType([*df.schema.fields, *T.StructType.fromDDL("task int, nth long").fields])
+NUMBER = "task int, nth long"
 
-    def number(batches):
-        import pyarrow as pa
 
-        task, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
-            nth = []
-            for length in batch.column("length").to_pylist():
-                nth.append(seen.get(length, 0))
-                seen[length] = nth[-1] + 1
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([task] * len(nth), pa.int32()), pa.array(nth, pa.int64())],
-                names=[*batch.schema.names, "task", "nth"],
-            )
+def number(batches):
+    """Number the rows of equal length within a task."""
+    import pyarrow as pa
+
+    task, seen = TaskContext.get().partitionId(), {}
+    for batch in batches:
+        nth = []
+        for length in batch.column("length").to_pylist():
+            nth.append(seen.get(length, 0))
+            seen[length] = nth[-1] + 1
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([task] * len(nth), pa.int32()), pa.array(nth, pa.int64())],
+            names=[*batch.schema.names, "task", "nth"],
+        )
+
 
-    return df.mapInArrow(number, out)
+def with_checksums(batches):
+    """The unsigned crc32 of the ids in their place."""
+    import pyarrow as pa
+
+    for batch in batches:
+        sums = [zlib.crc32(ids) for ids in batch.column("token_ids").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(sums, pa.int64())],
+            names=[*batch.schema.names[:-1], "ids_crc32"],
+        )
 
 
 def pack(rows, capacity=CAPACITY, groups=GROUPS, small=SMALL, rounds=ROUNDS):
@@ -267,7 +278,14 @@ def pack(rows, capacity=CAPACITY, groups=GROUPS, small=SMALL, rounds=ROUNDS):
 
     The rows are staged once, with their numbers; sequences are gapless from offset 0.
     """
-    numbered = staged(_numbered(rows), "packing-pieces")
+    out = T.StructType([*rows.schema.fields, *T.StructType.fromDDL(NUMBER).fields])
+    return placed(rows.mapInArrow(number, out), capacity, groups, small, rounds)
+
+
+def placed(numbered, capacity=CAPACITY, groups=GROUPS, small=SMALL, rounds=ROUNDS):
+    """Rows numbered by ``number``, with their places instead of the numbers."""
+    own = numbered.drop("task", "nth").schema
+    numbered = staged(numbered, "packing-pieces")
     counts = numbered.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged(
@@ -276,7 +294,7 @@ def pack(rows, capacity=CAPACITY, groups=GROUPS, small=SMALL, rounds=ROUNDS):
     histogram = dict(counts.groupBy("length").agg(F.sum("n")).collect())  # at most ``capacity`` rows
     places = Places(plan(histogram, capacity, groups, small, rounds))
     ranked = numbered.join(counts.drop("n"), ["length", "task"]).select(
-        *rows.columns, (F.col("nth") + F.col("earlier")).alias("rank")
+        *own.names, (F.col("nth") + F.col("earlier")).alias("rank")
     )
 
     def put(batches):
@@ -291,17 +309,14 @@ def pack(rows, capacity=CAPACITY, groups=GROUPS, small=SMALL, rounds=ROUNDS):
                 names=[*batch.schema.names[:-1], "sequence_id", "offset"],
             )
 
-    out = [*rows.schema.fields, *T.StructType.fromDDL("sequence_id long, offset long").fields]
+    out = [*own.fields, *T.StructType.fromDDL("sequence_id long, offset long").fields]
     return ranked.mapInArrow(put, T.StructType(out))
 
 
 def packed_documents(docs, capacity=CAPACITY, vocabulary="byte_bpe_50k"):
     """Every document's pieces with their token ids and their places."""
-    return pack(pieces(docs, capacity, vocabulary), capacity)
-
-
-def with_checksums(found):
-    return found.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
+    found = pieces(docs, capacity, vocabulary, then=number, columns=f"{PIECES}, {NUMBER}")
+    return placed(found, capacity)
 
 
 def op1_packing(spark, sf_dir):
@@ -311,6 +326,10 @@ def op1_packing(spark, sf_dir):
 
 def packed(docs, capacity=CAPACITY):
     """Places of all pieces, with a checksum for the ids."""
-    return pack(with_checksums(pieces(docs, capacity)), capacity).select(
+    columns = f"{PIECES.replace('token_ids binary', 'ids_crc32 long')}, {NUMBER}"
+    found = pieces(
+        docs, capacity, then=lambda batches: number(with_checksums(batches)), columns=columns
+    )
+    return placed(found, capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

@@ -77,11 +77,13 @@ def encoder(vocabulary):
 PIECES = "doc_id long, piece int, start long, length long, token_ids binary"
 
 
-def pieces(docs, capacity, vocabulary="byte_bpe_50k", end_id=0):
+def pieces(docs, capacity, vocabulary="byte_bpe_50k", end_id=0, then=None, columns=PIECES):
     """doc_id, piece, start, length, token_ids of every document's pieces.
 
     A document's ids end with ``end_id``. Only longer ones are cut, into pieces of ``capacity``
-    ids; the first piece takes what is left over, so that all others fill a sequence.
+    ids; the first piece takes what is left over, so that all others fill a sequence. ``then`` goes on
+    with a task's batches of pieces in the same worker and makes ``columns`` of them: a second Python
+    operator above would take a second worker, with its own memory, for each running task.
     """
 
     def cut(batches):
@@ -108,4 +110,6 @@ def pieces(docs, capacity, vocabulary="byte_bpe_50k", end_id=0):
             )
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return narrow.mapInArrow(cut, schema(PIECES))
+    if then is None:
+        return narrow.mapInArrow(cut, schema(PIECES))
+    return narrow.mapInArrow(lambda batches: then(cut(batches)), schema(columns))

@@ -38,9 +38,14 @@ def keep_one_of_each_group(spark, docs, sf_dir):
     own = found.where("component_id = doc_id").select("doc_id")
     # ids that stand in several rows are rare: only their rows are compared
     several = staged(own.groupBy("doc_id").count().where("count > 1").select("doc_id"), "pipeline-ids")
-    kept = docs.join(own.distinct(), "doc_id", "left_semi").unionByName(
-        docs.where(F.col("doc_id").isNull())
-    ).select(*docs.columns)
+    # a row without an id equals nothing, so it stays; few documents go, so texts seldom move
+    gone = staged(
+        found.groupBy("doc_id").agg(F.bool_or(F.col("component_id") == F.col("doc_id")).alias("stays"))
+        .where("NOT stays").select("doc_id"), "pipeline-gone"
+    )
+    if gone.count() <= parity_join.SMALL_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if several.isEmpty():
         return kept
     once = kept.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(

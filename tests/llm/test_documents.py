@@ -138,6 +138,16 @@ def test_packing(docs, clashing):
             assert seq.length.sum() <= 2048
 
 
+def test_packing_takes_one_python_worker_a_task(docs, explain, monkeypatch):
+    plans = []
+    staged = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name: plans.append(explain(df)) or staged(df, name))
+    for made in (packing.packed, packing.packed_documents):
+        plans.clear()
+        made(docs)
+        assert plans[0].count("MapInArrow") == 1
+
+
 def test_packing_keeps_the_ids(docs):
     row = packing.packed_documents(docs.where("doc_id = 0")).first()
     assert len(row.token_ids) == 4 * row.length
