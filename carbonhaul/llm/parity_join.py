@@ -11,7 +11,10 @@ Agreeing words are found by a join on (band, word's place, word). Words of few e
 chance, so every sketch leaves out its ``blocks - d - 1`` lightest words, in the order of (number of
 elements, value, place). This loses nothing: of the words in which two linked sketches agree, the
 last in that order has at least ``blocks - d - 1`` others below it on both sides, so neither leaves
-it out. ``d + 1`` keys per document and band remain.
+it out. This holds for each document by itself: ``d`` words may differ from its largest partner in the
+band, which are fewer for its smaller members, and it leaves out ``blocks - d - 1`` by its own ``d``. So
+``d + 1`` keys per document and band remain. A key has 48 bits: among a billion, some thousands of
+pairs agree by chance, which cost a comparison each.
 
 Rows with equal sets are one class from then on. In each bucket of equal keys the smallest class
 leads. Every class is compared with the leader that it shares most keys with, components follow, and
@@ -49,6 +52,8 @@ BITS = 8
 CHUNK = 1024
 #: partners that one copy of a document's text is compared with
 COMPARED = 256
+#: bits of a hash that a join key leaves out
+KEY_SHIFT = np.uint64(16)
 #: words whose hashes a task keeps
 KEPT_WORDS = 60_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
@@ -118,6 +123,12 @@ def own_band(size, percent):
     return int(np.searchsorted(bands(percent)[0], size, "right")) - 1
 
 
+def may_differ(size, largest, percent):
+    """Elements in which a set and a linked one of at most ``largest`` elements may differ."""
+    partner = min(100 * size // percent, largest)
+    return (100 - percent) * (size + partner) // (100 + percent)
+
+
 def bit_sketch(elements, d):
     """Parity of the elements per bit."""
     words = -(-BITS * (d + 1) // 64)
@@ -140,8 +151,10 @@ def band_keys(elements, percent):
             continue
         d = spans[band][1]
         bits.append(bit_sketch(elements, d))
-        spare = -(-d // SPARE)
-        blocks = d + 1 + spare
+        blocks = d + 1 - (-d // SPARE)
+        # in its own band it meets larger sets of the next one, below only those of that band
+        largest = spans[band][0] if band == own else int(bands(percent)[0][band + 1]) - 1
+        spare = blocks - 1 - may_differ(len(elements), largest, percent)
         place = ((elements >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         value = np.bitwise_xor.reduceat(elements, first)
@@ -155,7 +168,8 @@ def band_keys(elements, percent):
             none = np.setdiff1d(np.arange(blocks, dtype="uint64"), place)[spare:]
             value = np.concatenate((value, np.zeros(len(none), "uint64")))
             place = np.concatenate((place, none))
-        keys.append(mixed(value ^ mixed((np.uint64(band) << np.uint64(32)) + place + np.uint64(1))))
+        key = mixed(value ^ mixed((np.uint64(band) << np.uint64(32)) + place + np.uint64(1)))
+        keys.append(key >> KEY_SHIFT)
     return np.concatenate(keys).view("int64"), own, *bits
 
 

@@ -115,6 +115,19 @@ def test_linked_sets_share_a_key(size, edits, seed):
         assert x & y
 
 
+def test_keys_are_short_and_no_more_than_may_differ():
+    rng = np.random.default_rng(3)
+    for size in (1, 20, 410, 480, 555):
+        elements = np.unique(rng.integers(0, 2**64, size, dtype="uint64"))
+        keys, own = parity_join.band_keys(elements, 85)[:2]
+        below = int(parity_join.bands(85)[0][own]) - 1
+        each = [(15 * (size + 100 * size // 85)) // 185 + 1]
+        if 100 * below // 85 >= size:
+            each.append(15 * (size + below) // 185 + 1)
+        assert len(keys) == sum(each)
+        assert 0 <= keys.min() and keys.max() < 1 << 48
+
+
 def test_packing(docs, clashing):
     from tokenizers import Tokenizer
 
