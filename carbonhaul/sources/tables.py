@@ -164,8 +164,10 @@ class TableStore:
         Of several rows with a key the greatest by ``order_by`` (or the table's own order) counts, be
         it stored or new: the same rows in other batches leave the same table. Without an order the
         batch replaces stored rows. ``distinct`` says that ``df`` has one row per key already.
-        Only partitions that receive rows or lose a matched row are rewritten. Running the same
-        batch twice leaves the table as after the first run.
+        Only partitions in which a key is matched, or to which its row moves, are rewritten; rows with
+        new keys are added to the others as files of their own. So a batch costs what it brings and
+        changes, and a look at the stored keys, but no copy of the table. Running the same batch
+        twice leaves the table as after the first run.
         """
         self.recover(name)
         spec = self.specs[name]
@@ -184,23 +186,31 @@ class TableStore:
         # the table changes below: what depends on it is settled first, also for lost executors
         source, target = materialized(source), self.read(name)
         keep_refused()
+        part = spec.partition_by[0] if spec.partition_by else None
+        own = list(dict.fromkeys([*keys, part] if part else keys))
+        matched = materialized(target.select(*own).join(source.select(*keys), keys, "left_semi"))
+        if matched.isEmpty():
+            return self._write(source, name, "append")
+        if part:
+            moved = source.join(matched.select(*keys).distinct(), keys, "left_semi")
+            # at most one value per calendar day or month
+            touched = [r[0] for r in matched.select(part).union(moved.select(part)).distinct().collect()]
+            target = target.where(_among(part, touched))
         if order:
             held = target.join(source.select(*keys), keys, "left_semi").select(*source.columns)
             source = materialized(latest_per_key(held.unionByName(source), keys, order))
-        if not spec.partition_by:
+        if not part:
             return self._replace(replace_rows(target, source, keys), name)
 
-        part = spec.partition_by[0]
-        left = target.join(source.select(*keys), keys, "left_semi").select(part)
-        # at most one value per calendar day or month
-        touched = [r[0] for r in left.union(source.select(part)).distinct().collect()]
-        rows = self._replace(replace_rows(target.where(_among(part, touched)), source, keys), name)
+        inside = F.coalesce(_among(part, touched), F.lit(False))
+        rows = self._replace(replace_rows(target, source.where(inside), keys), name)
         # a partition whose rows all moved elsewhere is not in the written set
-        filled = {r[0] for r in source.select(part).distinct().collect()}
+        filled = {r[0] for r in source.where(inside).select(part).distinct().collect()}
         lost = [v for v in touched if v not in filled]
         if lost:
             self._drop_stale(name, part, lost, source, keys)
-        return rows
+        # after the rewrite: what is cut off in between is added when the batch is repeated
+        return rows + self._write(source.where(~inside), name, "append")
 
     def _drop_stale(self, name, part, values, source, keys):
         """Remove partitions that still hold only rows the batch has moved away."""

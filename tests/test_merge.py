@@ -256,3 +256,59 @@ def test_incomplete_staging_is_forgotten(spark):
     ).parquet(store._staging("TripFacts"))
     store.upsert(spark.createDataFrame([trip("b", 1)], TRIP_SCHEMA), "TripFacts")
     assert content(store) == [("a", 1, 10.0), ("b", 1, 10.0)]
+
+
+def test_new_keys_are_added_beside_what_is_stored(spark):
+    store = TableStore(spark, scratch_path(spark, "store"))
+
+    def files():
+        found = store.read("TripFacts").select("TripDate", F.input_file_name().alias("f"))
+        return {(r["TripDate"].day, r["f"]) for r in found.collect()}
+
+    def batch(*trips):
+        return spark.createDataFrame(list(trips), TRIP_SCHEMA)
+
+    store.upsert(batch(trip("a", 1), trip("b", 2), trip("c", 3)), "TripFacts")
+    before = files()
+    # only new keys, also on days that have rows: no stored file is written again
+    new = batch(trip("d", 1), trip("e", 2), trip("f", 4))
+    assert store.upsert(new, "TripFacts") == 3
+    after = files()
+    assert before < after and {day for day, _ in after - before} == {1, 2, 4}
+    store.upsert(new, "TripFacts")
+    expected = [("a", 1, 10.0), ("b", 2, 10.0), ("c", 3, 10.0), ("d", 1, 10.0), ("e", 2, 10.0), ("f", 4, 10.0)]
+    assert content(store) == expected
+    # a changes day and c its litres; day 2 gets a new row and keeps its files
+    second, before = batch(trip("a", 5), trip("c", 3, 30.0), trip("g", 2), trip("h", 5)), files()
+    store.upsert(second, "TripFacts")
+    day_2 = {f for f in before if f[0] == 2}
+    assert day_2 < {f for f in files() if f[0] == 2}
+    expected = sorted(
+        [*expected[1:2], *expected[3:], ("a", 5, 10.0), ("c", 3, 30.0), ("g", 2, 10.0), ("h", 5, 10.0)]
+    )
+    for _ in range(2):
+        assert content(store) == expected
+        store.upsert(second, "TripFacts")
+
+
+def test_new_rows_follow_a_cut_off_publication(spark, monkeypatch):
+    store = TableStore(spark, scratch_path(spark, "store"))
+    store.upsert(spark.createDataFrame([trip("a", 1), trip("b", 1)], TRIP_SCHEMA), "TripFacts")
+    batch = spark.createDataFrame([trip("b", 1, 11.0), trip("c", 2)], TRIP_SCHEMA)
+    write = TableStore._write
+
+    def cut(self, df, name, mode):
+        if mode == "append":
+            raise RuntimeError("cut off")
+        return write(self, df, name, mode)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(TableStore, "_write", cut)
+        try:
+            store.upsert(batch, "TripFacts")
+        except RuntimeError:
+            pass
+    assert content(store) == [("a", 1, 10.0), ("b", 1, 11.0)]
+    for _ in range(2):
+        store.upsert(batch, "TripFacts")
+        assert content(store) == [("a", 1, 10.0), ("b", 1, 11.0), ("c", 2, 10.0)]
