@@ -2,8 +2,9 @@
 
 Every distinct word n-gram is a 64-bit hash. Sets of n and m elements with Jaccard similarity of at
 least t differ in at most ``d = (1 - t) / (1 + t) * (n + m)`` elements, and m lies between t * n and
-n / t. Documents are put into size bands of that ratio. A band's sketch has ``blocks`` words; an
-n-gram's hash chooses one and is XORed into it. One element that only one of two sets holds changes
+n / t. Documents are put into size bands that each span ``RATIOS`` times that ratio, so that only the
+smallest of a band, which may be the larger partner of one below, are sketched for that one too. A
+band's sketch has ``blocks`` words; an n-gram's hash chooses one and is XORed into it. One element that only one of two sets holds changes
 one word, so the number of words in which two sketches differ never exceeds the number of elements
 in which the sets differ: two linked sketches agree in at least ``blocks - d`` words.
 
@@ -14,12 +15,13 @@ last in that order has at least ``blocks - d - 1`` others below it on both sides
 it out. This holds for each document by itself: ``d`` words may differ from its largest partner in the
 band, which are fewer for its smaller members, and it leaves out ``blocks - d - 1`` by its own ``d``. So
 ``d + 1`` keys per document and band remain. A key has 48 bits: among a billion, some thousands of
-pairs agree by chance, which cost a comparison each.
+pairs agree by chance, also across bands, which cost a comparison each. A key is sent with the number
+of its class in its task, in one word, and the task's number, which is equal from row to row.
 
-Rows with equal sets are one class from then on. In each bucket of equal keys the smallest class
-leads. Every class is compared with the leader that it shares most keys with, components follow, and
-then with those of its other leaders that are still in different components. Members of one bucket that
-are in different components after that are held against each other by bit sketches, in blocks within a task:
+Rows with equal sets are one class from then on. In each bucket of equal keys the class of the
+smallest place leads. Every class is compared with the leader that it shares most keys with, components follow, and
+then with those of its other leaders that are still in different components. Members of one leader, or of one
+bucket where these are many, that are in different components after that are held against each other by bit sketches, in blocks within a task:
 there an n-gram flips one bit, the Hamming distance is again a lower bound, and pairs whose distance
 exceeds ``d`` go no further. First each member is compared with its nearest one in another component;
 then, with the components that follow, all pairs that the sketches leave. So thousands of near
@@ -46,14 +48,17 @@ from .components import components
 NGRAM, PERCENT = 4, 85
 #: sketch words beyond those that may differ, as a share of them
 SPARE = 4
+#: partner ratios that a size band spans
+RATIOS = 3
 #: bits of a bit sketch, as a multiple of the elements that may differ
 BITS = 8
 #: members of a bucket that are held against as many others at a time
 CHUNK = 1024
 #: partners that one copy of a document's text is compared with
 COMPARED = 256
-#: bits of a hash that a join key leaves out
-KEY_SHIFT = np.uint64(16)
+#: bits of a hash that a join key leaves out, where the lower bits of a place go
+PLACE_BITS = 16
+KEY_SHIFT = np.uint64(PLACE_BITS)
 #: words whose hashes a task keeps
 KEPT_WORDS = 60_000
 #: ids that are sent to every executor as they are; more of them are joined by shuffle
@@ -111,7 +116,10 @@ def bands(percent):
     """Start of every size band, and (largest partner, differing elements) of each."""
     starts, spans = [1], []
     while starts[-1] < 1 << 32:
-        starts.append(100 * starts[-1] // percent + 1)
+        start = starts[-1]
+        for _ in range(RATIOS):
+            start = 100 * start // percent + 1
+        starts.append(start)
     for after in starts[1:]:
         largest = after - 1
         partner = 100 * largest // percent
@@ -174,24 +182,27 @@ def band_keys(elements, percent):
 
 
 SKETCHED = (
-    "doc_id long, n_shingles long, class long, class2 long, keys array<long>, band int, "
-    "bits binary, bits_below binary"
+    "doc_id long, n_shingles long, class long, class2 long, place long, keys array<long>, "
+    "band int, bits binary, bits_below binary"
 )
 
 
 def sketched(docs, ngram, percent):
     """Size, class (128 bits of the whole set), join keys and bit sketches of every document.
 
-    A task gives the keys of a class once, so that a group of copies adds a few rows per task.
+    A task gives the keys of a class once, so that a group of copies adds a few rows per task. Their
+    place is the task's number and, in the lower 32 bits, that of the class in the task.
     """
 
     def sketch(batches):
         import pyarrow as pa
         import xxhash
+        from pyspark import TaskContext
 
+        first = TaskContext.get().partitionId() << 32
         # of this task: a worker process that goes on to other work holds nothing
-        of, seen, nothing = Shingles(ngram).of, set(), ([], None, None, None)
-        types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
+        of, seen, nothing = Shingles(ngram).of, set(), (None, [], None, None, None)
+        types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -199,14 +210,15 @@ def sketched(docs, ngram, percent):
                 digest = xxhash.xxh3_128_digest(elements.tobytes()) if len(elements) else bytes(16)
                 made = nothing
                 if len(elements) and doc is not None and digest not in seen:
+                    made = first + len(seen), *band_keys(elements, percent)
                     seen.add(digest)
-                    made = band_keys(elements, percent)
                 rows.append((len(elements), *np.frombuffer(digest, "int64").tolist(), *made))
             columns = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
                 names=[
-                    "doc_id", "n_shingles", "class", "class2", "keys", "band", "bits", "bits_below"
+                    "doc_id", "n_shingles", "class", "class2", "place", "keys", "band", "bits",
+                    "bits_below",
                 ],
             )
 
@@ -216,24 +228,41 @@ def sketched(docs, ngram, percent):
 
 
 def buckets(sketches):
-    """(bucket, leader, class, keys): classes that share keys with a smaller class, which leads, and
-    their number. Buckets of the same classes are one.
+    """(bucket, leader, class, keys): classes that share keys with one of a smaller place, which leads,
+    and their number. Buckets of the same places are one.
     """
     from pyspark.sql import Window
 
+    key = F.shiftrightunsigned("word", PLACE_BITS)
+    low = F.lit((1 << PLACE_BITS) - 1)
+    rows = sketches.select("place", F.explode("keys").alias("key")).select(
+        F.shiftleft("key", PLACE_BITS).bitwiseOR(F.col("place").bitwiseAND(low)).alias("word"),
+        F.shiftright("place", PLACE_BITS).alias("high"),
+    )
+    rows = rows.repartition(key).select(
+        key.alias("key"),
+        F.shiftleft("high", PLACE_BITS).bitwiseOR(F.col("word").bitwiseAND(low)).alias("place"),
+    )
     same = Window.partitionBy("key")
-    rows = sketches.select("class", F.explode("keys").alias("key")).select(
-        "class",
-        F.min("class").over(same).alias("leader"),
+    rows = rows.select(
+        "place",
+        F.min("place").over(same).alias("first"),
         F.count(F.lit(1)).over(same).alias("n"),
-        F.bit_xor(F.xxhash64("class", F.lit(1))).over(same).alias("x"),
-        F.sum(F.shiftright(F.xxhash64("class"), 32)).over(same).alias("s"),
+        F.bit_xor(F.xxhash64("place", F.lit(1))).over(same).alias("x"),
+        F.sum(F.shiftright(F.xxhash64("place"), 32)).over(same).alias("s"),
     )
-    return (
-        rows.where("class <> leader")
-        .groupBy(F.xxhash64("leader", "n", "x", "s").alias("bucket"), "leader", "class")
+    shared = (
+        rows.where("place <> first")
+        .groupBy(F.xxhash64("first", "n", "x", "s").alias("bucket"), "first", "place")
         .agg(F.count(F.lit(1)).alias("keys"))
     )
+    named = sketches.where("place IS NOT NULL").select("place", "class")
+    leaders = named.select(F.col("place").alias("first"), F.col("class").alias("leader"))
+    # a class that several tasks met has several places
+    return (
+        shared.join(named, "place").join(leaders, "first").where("class <> leader")
+        .groupBy("bucket", "leader", "class").agg(F.max("keys").alias("keys"))
+    )
 
 
 def links(pairs, docs, ngram, percent):
@@ -291,9 +320,44 @@ def similar(one, other, percent):
     return 100 * common >= percent * (len(one) + len(other) - common) > 0
 
 
-def within_buckets(rows, percent, nearest_only):
-    """Pairs (leader, class) of ``rows`` (bucket, class, part, size, bits) in different components
-    whose bit sketches allow a link; or each member's nearest of them.
+def gathered(members, led):
+    """(bucket, class): all members of a leader as one bucket, where these are few or fewer pairs than
+    those of its buckets, which share most of their members."""
+    size = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    squares = members.groupBy("leader", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    squares = squares.groupBy("leader").agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
+    whole = size.join(squares, "leader").select(
+        "leader", ((F.col("n") <= CHUNK) | (F.col("n") * F.col("n") <= F.col("squares"))).alias("whole")
+    )
+    bucket = F.when(F.col("whole"), F.xxhash64("leader")).otherwise(F.col("bucket"))
+    return members.join(whole, "leader").select(bucket.alias("bucket"), "class").distinct()
+
+
+def one_band(known):
+    """Members (bucket, class, part, size, band) whose band is that of the sketch to be compared, the
+    same in a bucket, from such with their own band and whether they have a sketch ``below`` it.
+
+    Where members have no sketch of the lowest band among them, as keys agree by chance or a leader has
+    keys in two bands, the bucket is parted by band, with both sketches of each member.
+    """
+    span = known.groupBy("bucket").agg(
+        F.min("band").alias("lowest"),
+        F.max(F.col("band") - F.col("below").cast("int")).alias("common"),
+    )
+    shared = F.col("common") <= F.col("lowest")
+    each = F.when(shared, F.array("lowest")).when(
+        F.col("below"), F.array(F.col("band"), F.col("band") - 1)
+    ).otherwise(F.array("band"))
+    return known.join(span, "bucket").withColumn("at", F.explode(each)).select(
+        F.when(shared, F.col("bucket")).otherwise(F.xxhash64("bucket", "at")).alias("bucket"),
+        "class", "part", "size", F.col("at").alias("band"),
+    )
+
+
+def within_buckets(rows, sketches, percent, nearest_only):
+    """Pairs (leader, class) of ``rows`` (bucket, class, part, size, band) in different components
+    whose bit ``sketches`` (class, band, bits) allow a link; or each member's nearest of them. A bucket's
+    band is one. Sketches are sent once, to the groups.
 
     Large buckets are cut into chunks; every pair of chunks is one group.
     """
@@ -303,8 +367,8 @@ def within_buckets(rows, percent, nearest_only):
     )
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"),
-        "chunk", "class", "part", "size", "bits",
-    )
+        "chunk", "class", "part", "size", "band",
+    ).join(sketches, ["class", "band"])
 
     def hold(group):
         import pyarrow as pa
@@ -413,9 +477,15 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
     )
     found, parts = enlarged(comparable(apart))
 
+    groups = staged(gathered(members, led), "join-groups")
+    below = F.length("bits_below") > 0
+    known = bits.select("class", F.col("n_shingles").alias("size"), "band", below.alias("below"))
+    by_band = bits.select("class", "band", "bits").unionByName(
+        bits.where(below).select("class", (F.col("band") - 1).alias("band"), F.col("bits_below").alias("bits"))
+    )
     # members of one bucket in different components
     for nearest_only in (True, False):
-        within = members.join(parts.groupBy("class").agg(F.min("part").alias("part")), "class")
+        within = groups.join(parts.groupBy("class").agg(F.min("part").alias("part")), "class")
         unlike = (
             within.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"))
             .where("p <> q").select("bucket")
@@ -425,13 +495,8 @@ def joined(docs, ngram=NGRAM, percent=PERCENT):
         )
         if still.isEmpty():
             break
-        known = still.join(bits, "class")
-        lowest = known.groupBy("bucket").agg(F.min("band").alias("lowest"))
-        sketch = F.when(F.col("band") == F.col("lowest"), F.col("bits")).otherwise(F.col("bits_below"))
-        rows = known.join(lowest, "bucket").select(
-            "bucket", "class", "part", F.col("n_shingles").alias("size"), sketch.alias("bits")
-        )
-        found, parts = enlarged(comparable(within_buckets(rows, percent, nearest_only)))
+        rows = one_band(still.join(known, "class"))
+        found, parts = enlarged(comparable(within_buckets(rows, by_band, percent, nearest_only)))
 
     has_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return facts.join(parts, ["class", "class2"], "left").select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carbonhaul.llm import language_model, licences, mixing, packing, parity_join, sharding, tokens
 from carbonhaul.llm import toxicity
-from carbonhaul.llm.common import lowered, text_session
+from carbonhaul.llm.common import lowered, staged, text_session
 
 from . import cases
 from .cases import DOCUMENTS, documents, rows_of
@@ -128,6 +128,69 @@ def test_keys_are_short_and_no_more_than_may_differ():
         assert 0 <= keys.min() and keys.max() < 1 << 48
 
 
+def test_most_sets_have_keys_in_one_band_only():
+    rng = np.random.default_rng(7)
+    own = below = 0
+    for size in range(100, 1000, 7):
+        elements = np.unique(rng.integers(0, 2**64, size, dtype="uint64"))
+        keys, _, _, bits_below = parity_join.band_keys(elements, 85)
+        most = 15 * (size + 100 * size // 85) // 185 + 1
+        own, below = own + most, below + max(0, len(keys) - most)
+        assert (len(keys) > most) == (len(bits_below) > 0)
+    assert 0 < below < own / 2
+
+
+def test_key_rows_are_small_whatever_the_number_of_partitions(spark):
+    """Beside its key, a row has the place of its class in 16 bits and what is equal in all its task."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for i in range(40)]
+    rows += [(100 + i, text + " more") for i, text in rows[:10]] + [(200 + i, text) for i, text in rows[:10]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sketches = staged(parity_join.sketched(docs, 4, 85), "test-sketches")
+    found = parity_join.buckets(sketches)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # dealt once by the key, and the window takes it from there
+    assert plan.count("REPARTITION_BY_COL") == 1 and "hashpartitioning(key" not in plan
+    of = {r["class"]: r.n_shingles for r in sketches.where("place IS NOT NULL").collect()}
+    # copies are one class; ten pairs of near copies
+    pairs = {frozenset((r.leader, r["class"])) for r in found.collect()}
+    assert len(of) == 50 and len(pairs) == 10 and all(len(p) == 2 for p in pairs)
+    assert all(abs(of[a] - of[b]) == 1 for a, b in pairs)
+    places = sketches.where("place IS NOT NULL").select("place", F.col("place") % 2**32)
+    assert places.distinct().count() == places.count()
+
+
+def test_sketches_of_different_bands_are_not_compared(spark):
+    """Keys of different bands may agree by chance; their sketches have different lengths."""
+    rng = np.random.default_rng(11)
+    rows, sketches = [], []
+    for i, size in enumerate((40, 41, 700, 3000)):
+        elements = np.unique(rng.integers(0, 2**64, size, dtype="uint64"))
+        if i == 1:
+            # the first one with one element more
+            elements = np.append(first, np.uint64(2**64 - 5))
+        first = elements
+        _, band, bits, below = parity_join.band_keys(elements, 85)
+        rows.append((1, i, i, len(elements), band, len(below) > 0))
+        sketches += [(i, b, s) for b, s in ((band, bits), (band - 1, below)) if s]
+    known = spark.createDataFrame(
+        rows, "bucket long, class long, part long, size long, band int, below boolean"
+    )
+    sketches = spark.createDataFrame(sketches, "class long, band int, bits binary")
+    for nearest_only in (True, False):
+        got = parity_join.within_buckets(parity_join.one_band(known), sketches, 85, nearest_only)
+        assert [tuple(r) for r in got.collect()] == [(0, 1)]
+
+
+def test_members_of_a_leader_are_one_bucket(spark):
+    members = spark.createDataFrame(
+        [(b, 9, c, 1) for b in (1, 2, 3) for c in (b, 10, 11)], "bucket long, leader long, class long, keys long"
+    )
+    got = parity_join.gathered(members, members.select("leader", "class").distinct()).collect()
+    assert len({r.bucket for r in got}) == 1
+    assert sorted(r["class"] for r in got) == [1, 2, 3, 10, 11]
+
+
 def test_packing(docs, clashing):
     from tokenizers import Tokenizer
 
