@@ -326,11 +326,14 @@ def gathered(members, led):
     size = led.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
     squares = members.groupBy("leader", "bucket").agg(F.count(F.lit(1)).alias("m"))
     squares = squares.groupBy("leader").agg(F.sum(F.col("m") * F.col("m")).alias("squares"))
-    whole = size.join(squares, "leader").select(
-        "leader", ((F.col("n") <= CHUNK) | (F.col("n") * F.col("n") <= F.col("squares"))).alias("whole")
-    )
-    bucket = F.when(F.col("whole"), F.xxhash64("leader")).otherwise(F.col("bucket"))
-    return members.join(whole, "leader").select(bucket.alias("bucket"), "class").distinct()
+    # leaders of more than a chunk each, so few beside their members
+    split = size.join(squares, "leader").where(
+        (F.col("n") > CHUNK) & (F.col("n") * F.col("n") > F.col("squares"))
+    ).select("leader", F.lit(True).alias("split"))
+    bucket = F.when(F.col("split"), F.col("bucket")).otherwise(F.xxhash64("leader"))
+    return members.join(F.broadcast(split), "leader", "left").select(
+        bucket.alias("bucket"), "class"
+    ).distinct()
 
 
 def one_band(known):

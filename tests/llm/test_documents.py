@@ -191,6 +191,29 @@ def test_members_of_a_leader_are_one_bucket(spark):
     assert sorted(r["class"] for r in got) == [1, 2, 3, 10, 11]
 
 
+def test_unlike_members_of_a_leader_with_many_keep_their_buckets(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "CHUNK", 4)
+    members = spark.createDataFrame(
+        [(b, 9, 10 * b + c, 1) for b in (1, 2, 3) for c in range(2)]
+        + [(b, 8, 50 + c, 1) for b in (4, 5) for c in range(5)],
+        "bucket long, leader long, class long, keys long",
+    )
+    got = parity_join.gathered(members, members.select("leader", "class").distinct())
+    # a leader may have most rows: they are not dealt by it, also where nothing is small
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        assert "BroadcastHashJoin [leader" in got._jdf.queryExecution().executedPlan().toString()
+        got = got.collect()
+    finally:
+        spark.conf.set(threshold, before)
+    assert {(r.bucket, r["class"]) for r in got if r["class"] < 50} == {
+        (b, 10 * b + c) for b in (1, 2, 3) for c in range(2)
+    }
+    assert len([r for r in got if r["class"] >= 50]) == 5
+
+
 def test_packing(docs, clashing):
     from tokenizers import Tokenizer
 
